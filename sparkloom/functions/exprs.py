@@ -53,6 +53,14 @@ def kurt_g2(c: Column | str) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6))
 
 
+def safe_corr(a: Column, b: Column, window=None) -> Column:
+    """Pearson r over rows where both are present; null where either is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    on = (lambda e: e.over(window)) if window is not None else (lambda e: e)
+    return F.try_divide(on(F.covar_pop(x, y)), on(F.stddev_pop(x)) * on(F.stddev_pop(y)))
+
+
 def all_of(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
 from sparkloom.functions import patterns
-from sparkloom.functions.exprs import count_when, ratio, rnd, share, skew_g1, kurt_g2
+from sparkloom.functions.exprs import count_when, ratio, rnd, safe_corr, share, skew_g1, kurt_g2
 from sparkloom.operators.quantiles import exact_quantiles
 
 
@@ -135,9 +135,7 @@ def numeric_summary(df: DataFrame, columns: list[str], outliers_of: str = "rows"
 
 def pair_corr(a: str, b: str) -> Column:
     """Pearson r over rows where both are present."""
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    both = x.isNotNull() & y.isNotNull()
-    return F.corr(F.when(both, x), F.when(both, y))
+    return safe_corr(F.col(a), F.col(b))
 
 
 def target_correlations(df: DataFrame, columns: list[str], target: str, floor: float = 0.05) -> DataFrame:
