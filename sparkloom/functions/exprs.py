@@ -78,7 +78,8 @@ def ladder(value: Column, steps: list[tuple[float, object]], otherwise) -> Colum
 
 
 def micros(ts: Column | str) -> Column:
-    return F.unix_micros(col(ts))
+    """Microseconds since the epoch, for timestamps with or without a zone."""
+    return F.unix_micros(col(ts).cast("timestamp"))
 
 
 def days_between(end: Column, start: Column) -> Column:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
-from sparkloom.functions.exprs import col
+from sparkloom.functions.exprs import micros
 
 ROWS_PER_SLICE = 1_000_000
 MAX_SLICES = 4096
@@ -31,13 +31,17 @@ class Spec:
 def axis(df: DataFrame, name: str) -> Column:
     """The order column as a double, so that it can be cut."""
     kind = df.schema[name].dataType
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(F.col(name)).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return micros(name).cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(F.col(name)).cast("double")
     return F.col(name).cast("double")
 
 
+def _whole(df: DataFrame, name: str) -> bool:
+    return not isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType, T.DecimalType))
+
+
 def cut_points(df: DataFrame, name: str, rows_per_slice: int = ROWS_PER_SLICE) -> list[float]:
     """Cut points for about rows_per_slice rows each; none when the table is small.
 
@@ -123,11 +127,21 @@ def running(
     base = W.partitionBy(*keys, "_slice")
     if before == "range":
         ordered = base.orderBy((-axis(df, order[0]) if descending else axis(df, order[0])).asc())
-        window = ordered.rangeBetween(W.unboundedPreceding, -1)
+        if _whole(df, order[0]):
+            window = ordered.rangeBetween(W.unboundedPreceding, -1)
+        else:
+            window = None
+            through, ties = ordered.rangeBetween(W.unboundedPreceding, 0), ordered.rangeBetween(0, 0)
     else:
         ordered = base.orderBy(*[direction(c) for c in order])
         window = ordered.rowsBetween(W.unboundedPreceding, 0 if before == "through" else -1)
-    out = sliced.select("*", *[_local(s, window).alias(n) for n, s in specs.items()])
+    if window is not None:
+        values = [_local(s, window).alias(n) for n, s in specs.items()]
+    else:
+        if any(s.kind not in ("sum", "count") for s in specs.values()):
+            raise ValueError("values before a fractional one are worked out for sums and counts only")
+        values = [(_local(s, through) - _local(s, ties)).alias(n) for n, s in specs.items()]
+    out = sliced.select("*", *values)
     if not cuts:
         return out.drop("_slice")
 
@@ -200,7 +214,7 @@ def sliding(
     later, so the cost is linear in rows x widths and does not depend on the rows in a frame.
     """
     names = list(values)
-    at = F.unix_micros(F.col(ts))
+    at = micros(ts)
     base = df.select("*", *[values[n].cast("double").alias(f"_v_{n}") for n in names], at.alias("_at"))
     moves = [F.struct(F.lit(True).alias("own"), F.col("_at").alias("at"), *[
         F.col(f"_v_{n}").alias(f"d_{n}_{s}") for s in widths for n in names])]
@@ -259,4 +273,4 @@ def cumulative(
 
 
 __all__ = ["Spec", "running", "previous", "following", "row_numbers", "tiles", "tile_of", "sliding", "asof",
-           "islands", "cumulative", "cut_points", "add_slice", "axis", "col"]
+           "islands", "cumulative", "cut_points", "add_slice", "axis"]

@@ -19,6 +19,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"

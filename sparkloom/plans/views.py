@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.functions.exprs import hash_bucket as h
+from sparkloom.functions.exprs import hash_bucket as h, micros
 
 
 def H(key: str, buckets: int) -> str:
@@ -74,12 +74,12 @@ def _preds(t):
 
 @view("ref_half", "SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16'")
 def _ref_half(t):
-    return t.events.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp"))
+    return t.events.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"))
 
 
 @view("cur_half", "SELECT * REPLACE (value * 1.3 AS value) FROM events WHERE ts >= TIMESTAMP '2024-01-16'")
 def _cur_half(t):
-    return t.events.where(F.col("ts") >= F.lit("2024-01-16").cast("timestamp")).withColumn("value", F.col("value") * 1.3)
+    return t.events.where(F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")).withColumn("value", F.col("value") * 1.3)
 
 
 @view("ab", f"""SELECT user_id, {H('user_id', 2)} AS arm,
@@ -90,8 +90,8 @@ def _cur_half(t):
   FROM events GROUP BY user_id""")
 def _ab(t):
     bought = F.col("event_type") == "purchase"
-    early = F.col("ts") < F.lit("2024-01-08").cast("timestamp")
-    pre = F.col("ts") < F.lit("2024-01-04").cast("timestamp")
+    early = F.col("ts") < F.lit("2024-01-08").cast("timestamp_ntz")
+    pre = F.col("ts") < F.lit("2024-01-04").cast("timestamp_ntz")
     return t.events.groupBy("user_id").agg(
         F.max(F.when(bought & early, 1).otherwise(0)).alias("converted"),
         F.sum(F.when(bought, F.col("value")).otherwise(0.0)).alias("spend"),
@@ -142,8 +142,8 @@ def _survival(t):
     first = t.events.where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("t0"))
     big = t.events.where("event_type = 'purchase' AND value > 150").select("user_id", "ts")
     hit = big.join(first, "user_id").where("ts > t0").groupBy("user_id").agg(F.min("ts").alias("t1"))
-    end = F.coalesce(F.col("t1"), F.lit("2024-01-31").cast("timestamp"))
-    span = F.floor((F.unix_micros(end) - F.unix_micros("t0")) / F.lit(86_400_000_000))
+    end = F.coalesce(F.col("t1"), F.lit("2024-01-31").cast("timestamp_ntz"))
+    span = F.floor((micros(end) - micros("t0")) / F.lit(86_400_000_000))
     return first.join(hit, "user_id", "left").select(
         "user_id", span.cast("bigint").alias("days"), F.col("t1").isNotNull().cast("int").alias("event"),
         (F.col("user_id") % 2).cast("int").alias("arm"))
