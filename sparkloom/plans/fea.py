@@ -127,12 +127,12 @@ def fea_15(t):
     return out.select("event_id", *[F.round(F.col(f"alarms_{h}h")).cast("bigint").alias(f"alarms_{h}h") for h in (1, 8, 24)])
 
 
-@query("fea_16", """SELECT p_partkey, round(avg(p_retailprice) OVER (PARTITION BY p_brand), 6) AS brand_mean, round(avg(p_retailprice) OVER (PARTITION BY p_type), 6) AS type_mean FROM part""")
+@query("fea_16", """SELECT p_partkey, round(avg(p_retailprice) OVER (PARTITION BY p_brand), 9) AS brand_mean, round(avg(p_retailprice) OVER (PARTITION BY p_type), 9) AS type_mean FROM part""")
 def fea_16(t):
     levels = t.part.rollup("p_type", "p_brand").agg(F.sum("p_retailprice").alias("s"), F.count("*").alias("n"), F.grouping_id().alias("g"))
     types = levels.where("g = 1").select("p_type", (F.col("s") / F.col("n")).alias("type_mean"))
     brands = levels.where("g = 0").groupBy("p_brand").agg((F.sum("s") / F.sum("n")).alias("brand_mean"))
-    return t.part.join(types, "p_type").join(brands, "p_brand").select("p_partkey", rnd(F.col("brand_mean"), 6).alias("brand_mean"), rnd(F.col("type_mean"), 6).alias("type_mean"))
+    return t.part.join(types, "p_type").join(brands, "p_brand").select("p_partkey", rnd(F.col("brand_mean"), 9).alias("brand_mean"), rnd(F.col("type_mean"), 9).alias("type_mean"))
 
 
 @query("fea_17", """SELECT p_partkey, round(p_retailprice / avg(p_retailprice) OVER (PARTITION BY p_type), 4) AS to_mean, rank() OVER (PARTITION BY p_type ORDER BY p_retailprice) AS rank FROM part""")

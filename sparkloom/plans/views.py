@@ -61,15 +61,16 @@ def _orders_target(t):
 
 
 @view("preds", """SELECT o_orderkey AS id, y, score, CAST(score > 0.5 AS INTEGER) AS pred, c_mktsegment AS grp,
-  o_totalprice AS weight, target, 2 * c_acctbal + 50 AS estimate, o_orderdate AS at FROM (
-  SELECT *, round(least(greatest((c_acctbal + 1000) / 11000, 0), 1), 4) AS score FROM orders_target)""",
+  o_totalprice AS weight, target, 2 * c_acctbal + 50 AS estimate, o_orderdate AS placed FROM (
+  SELECT *, floor(least(greatest((round(c_acctbal * 100) + 100000) / 110, 0), 10000)) / 10000 AS score FROM orders_target)""",
       ("orders_target",))
 def _preds(t):
-    score = F.round(F.least(F.greatest((F.col("c_acctbal") + 1000) / 11000, F.lit(0.0)), F.lit(1.0)), 4)
+    cents = F.round(F.col("c_acctbal") * 100)
+    score = F.floor(F.least(F.greatest((cents + 100000) / 110, F.lit(0.0)), F.lit(10000.0))) / 10000
     return t.orders_target.withColumn("score", score).select(
         F.col("o_orderkey").alias("id"), "y", "score", (F.col("score") > 0.5).cast("int").alias("pred"),
         F.col("c_mktsegment").alias("grp"), F.col("o_totalprice").alias("weight"), "target",
-        (2 * F.col("c_acctbal") + 50).alias("estimate"), F.col("o_orderdate").alias("at"))
+        (2 * F.col("c_acctbal") + 50).alias("estimate"), F.col("o_orderdate").alias("placed"))
 
 
 @view("ref_half", "SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16'")
