@@ -49,8 +49,9 @@ def compose(text: str, needed: tuple[str, ...]) -> str:
     parts = [f"{n} AS ({views.SQL[n]})" for n in chain]
     if not parts:
         return text
-    if text[:5].upper() == "WITH ":
-        return "WITH " + ",\n".join(parts) + ",\n" + text[5:]
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if text.startswith(start):
+            return start + ",\n".join(parts) + ",\n" + text[len(start):]
     return "WITH " + ",\n".join(parts) + "\n" + text
 
 
