@@ -309,7 +309,7 @@ def _gram(column: str, n: int):
 def bleu(pairs: DataFrame, key: list[str], candidate: str, reference: str, order: int = 4) -> DataFrame:
     """Corpus BLEU from clipped n-gram counts per pair; (n-gram, side) counts are grouped, not paired up."""
     toks = lambda c: F.filter(F.split(F.lower(F.col(c)), r"\s+"), lambda w: w != "")
-    base = pairs.select(*key, toks(candidate).alias("c"), toks(reference).alias("r"))
+    base = pairs.select(*key, F.explode(F.array(F.struct(toks(candidate).alias("c"), toks(reference).alias("r")))).alias("_b")).select(*key, "_b.c", "_b.r")
     grams = None
     for n in range(1, order + 1):
         for side, c in ((1, "c"), (0, "r")):
