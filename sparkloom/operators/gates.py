@@ -84,6 +84,12 @@ def target_exists(df: DataFrame, target: str | None) -> DataFrame:
         "check string, status string, metric double, threshold double, detail string")
 
 
+def targets_exist(columns: DataFrame, target: str) -> DataFrame:
+    """The same check over a catalogue of datasets: (dataset, column) rows."""
+    found = F.max((F.col("column") == target).cast("int"))
+    return columns.groupBy("dataset").agg(F.when(found == 1, PASS).otherwise(HARD_STOP).alias("status"))
+
+
 def imbalance(df: DataFrame, target: str, limit: float = 10.0, max_classes: int = 20) -> DataFrame:
     """Largest over smallest class; targets with many values are skipped."""
     counts = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count("*").alias("n"))

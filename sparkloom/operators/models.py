@@ -231,10 +231,10 @@ def balanced_bags(data: DataFrame, bags: int = 5) -> DataFrame:
     return votes.select("key", "label", (sum((F.col(f"v{b}") for b in range(bags)), F.lit(0.0)) / bags).alias("score"))
 
 
-def _scaled(df: DataFrame, features: list[str]) -> DataFrame:
+def _scaled(df: DataFrame, features: list[str], centre: bool = True) -> DataFrame:
     d = df.fillna(0, features)
     v = VectorAssembler(inputCols=features, outputCol="_raw").transform(d)
-    return StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(v).transform(v).drop("_raw")
+    return StandardScaler(inputCol="_raw", outputCol="features", withMean=centre).fit(v).transform(v).drop("_raw")
 
 
 def cluster_kmeans(df: DataFrame, features: list[str], k: int) -> DataFrame:
@@ -259,7 +259,7 @@ def silhouette(clustered: DataFrame) -> DataFrame:
 
 
 def bisecting(df: DataFrame, features: list[str], k: int = 3) -> DataFrame:
-    d = _scaled(df, features)
+    d = _scaled(df, features, centre=False)  # the first split perturbs the centre by its norm, so it must not be 0
     return BisectingKMeans(k=k, seed=SEED).fit(d).transform(d).withColumnRenamed("prediction", "cluster")
 
 

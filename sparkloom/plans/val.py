@@ -50,11 +50,9 @@ def val_01(t):
     return g.run_checks(t.orders_target, [g.few_rows()])
 
 
-@query("val_02", "SELECT 'target_exists' AS \"check\", CASE WHEN d = 'gone' THEN 'HARD_STOP' ELSE 'PASS' END AS status, "
-       "CASE WHEN d = 'gone' THEN 0.0 ELSE 1.0 END::DOUBLE AS metric, 1.0::DOUBLE AS threshold, d AS detail FROM (VALUES ('o_totalprice'), ('gone'), ('')) AS v(d)")
+@query("val_02", """SELECT dataset, CASE WHEN bool_or("column" = 'purchase_outcome') THEN 'PASS' ELSE 'HARD_STOP' END AS status FROM catalog_columns GROUP BY 1""", "catalog_columns")
 def val_02(t):
-    a, b, c = (g.target_exists(t.orders, x) for x in ("o_totalprice", "gone", None))
-    return a.unionByName(b).unionByName(c)
+    return g.targets_exist(t.catalog_columns, "purchase_outcome")
 
 
 @query("val_03", CONST_T, "orders_target")
@@ -118,17 +116,14 @@ def val_10(t):
     return g.quality_report(t.orders_target, "y", LEAKS)
 
 
-def _names(t, *tables):
-    rows = [(n, c) for n in tables for c in getattr(t, n).columns] + [("events", "y_next"), ("events", "churn_flag"), ("events", "end_date")]
-    return t.spark.createDataFrame(rows, "dataset string, column string")
+@query("val_11", r"""SELECT dataset, "column", regexp_matches(lower("column"), '(^|_)(target|label|output|result|outcome)($|_)|^y_|^churn_') AS flagged FROM catalog_columns""", "catalog_columns")
+def val_11(t):
+    return g.name_flags(t.catalog_columns, g.TARGET_NAMES)
 
 
-@query("val_11", r"""SELECT dataset, "column", regexp_matches(lower("column"), '(^|_)(target|label|output|result|outcome)($|_)|^y_|^churn_') AS flagged
-  FROM (SELECT t AS dataset, c AS "column" FROM (VALUES
-  ('events','event_id'),('events','ts'),('events','user_id'),('events','event_type'),('events','value'),('events','props'),
-  ('labels','doc_id'),('labels','quality'),('labels','toxic'),('events','y_next'),('events','churn_flag'),('events','end_date')) v(t, c))""")
-def val_11(t):
-    return g.name_flags(_names(t, "events", "labels"), g.TARGET_NAMES)
+@query("val_12_names", """SELECT dataset, "column", regexp_matches(lower("column"), 'result|outcome|final|total_year|end_date|completion') AS flagged FROM catalog_columns""", "catalog_columns")
+def val_12_names(t):
+    return g.name_flags(t.catalog_columns, g.FUTURE_NAMES)
 
 
 @query("val_12", """SELECT count(*) AS n_rows, count(*) FILTER (l_shipdate > o_orderdate) AS n_late,

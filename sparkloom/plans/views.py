@@ -203,6 +203,14 @@ def _kb(t):
         (h("doc_id", 3) + 1).cast("int").alias("tier"), F.col("doc_id").alias("seq"))
 
 
+# One dataset per user: its column names are derived from what the user did.
+@view("catalog_columns", f"""SELECT DISTINCT user_id AS dataset, event_type || CASE {H('event_id', 6)} WHEN 0 THEN '_id' WHEN 1 THEN '_outcome' WHEN 2 THEN '_price' WHEN 3 THEN '_end_date' WHEN 4 THEN '_label' ELSE '' END AS "column" FROM events""")
+def _catalog_columns(t):
+    k = h("event_id", 6)
+    tail = F.when(k == 0, "_id").when(k == 1, "_outcome").when(k == 2, "_price").when(k == 3, "_end_date").when(k == 4, "_label").otherwise("")
+    return t.events.select(F.col("user_id").alias("dataset"), F.concat("event_type", tail).alias("column")).distinct()
+
+
 # Two raters per document.
 @view("ratings", f"""SELECT doc_id AS item, {H('doc_id', 4)} AS a,
   CASE WHEN {H('doc_id * 7', 10)} < 7 THEN {H('doc_id', 4)} ELSE {H('doc_id * 11', 4)} END AS b FROM documents""")
