@@ -6,7 +6,7 @@ ever sorts all rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 from pyspark.sql.functions import pandas_udf
 
 from sparkloom.functions.exprs import count_when, ratio, rnd, sum_when
@@ -323,7 +323,7 @@ def bleu(pairs: DataFrame, key: list[str], candidate: str, reference: str, order
     return prec.agg(rnd(F.lit(penalty) * F.exp(F.avg(F.log(F.greatest(F.col("hit").cast("double"), F.lit(1e-9)) / F.col("all")))), 6).alias("bleu"))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def rouge_l(candidate, reference):
     """F score of the longest common subsequence of words, by bit-parallel rows."""
     import pandas as pd
