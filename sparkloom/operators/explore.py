@@ -156,7 +156,7 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     rows = cells.groupBy("a").agg(F.sum("o").alias("ra"))
     cols = cells.groupBy("b").agg(F.sum("o").alias("cb"))
     one = cells.join(rows, "a").join(cols, "b").agg(
-        F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("cb"))).alias("s"),
+        F.sum("o").alias("n"), F.sum(F.col("o").cast("double") * F.col("o") / (F.col("ra").cast("double") * F.col("cb"))).alias("s"),
         F.count_distinct("a").alias("ka"), F.count_distinct("b").alias("kb"))
     return one.select(F.lit(a).alias("feature"), F.lit("chi_square").alias("test"), rnd(F.col("n") * (F.col("s") - 1), 3).alias("statistic"),
                       ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("df1"), F.col("n").alias("df2"))
@@ -192,7 +192,7 @@ def concentration(df: DataFrame, entity: str, weight: Column, top: float = 0.2,
     return ranked.agg(
         F.count("*").alias("n_entities"),
         rnd(F.try_divide(F.sum(F.when(F.col("i") > cut, F.col("x"))), F.sum("x"))).alias("top_share"),
-        rnd(F.try_divide(2 * F.sum(F.col("i") * F.col("x")), F.count("*") * F.sum("x")) - F.lit((n + 1) / max(n, 1))).alias("gini"))
+        rnd(F.try_divide(2.0 * F.sum(F.col("i") * F.col("x")), F.count("*") * F.sum("x")) - F.lit((n + 1) / max(n, 1))).alias("gini"))
 
 
 def autocorrelation(series: DataFrame, key: str, at: str, value: str, lags: int) -> DataFrame:

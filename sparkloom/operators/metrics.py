@@ -61,8 +61,8 @@ def score_groups(df: DataFrame, by: list[str] = (), **kw) -> DataFrame:
 
 def auc(df: DataFrame, by: list[str] = (), **kw) -> DataFrame:
     g = score_groups(df, by, **kw)
-    area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    return g.groupBy(*by).agg(F.try_divide(area, F.max("P") * F.max("N")).alias("auc"))
+    area = F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos") / 2))
+    return g.groupBy(*by).agg(F.try_divide(area, F.max("P").cast("double") * F.max("N").cast("double")).alias("auc"))
 
 
 def auc_one_vs_rest(df: DataFrame, cls: str, score: str, **kw) -> DataFrame:
@@ -74,8 +74,8 @@ def auc_one_vs_rest(df: DataFrame, cls: str, score: str, **kw) -> DataFrame:
     total = cells.agg(F.sum("n")).first()[0] or 0
     below = (F.col("all_cum") - F.col("all")) - (F.col("own_cum") - F.col("n"))
     ties = F.col("all") - F.col("n")
-    area = F.sum(F.col("n") * (below + ties / 2))
-    return own.groupBy("class").agg(F.try_divide(area, F.sum("n") * (F.lit(total) - F.sum("n"))).alias("auc"))
+    area = F.sum(F.col("n").cast("double") * (below + ties / 2))
+    return own.groupBy("class").agg(F.try_divide(area, F.sum("n").cast("double") * (F.lit(float(total)) - F.sum("n"))).alias("auc"))
 
 
 def regression(df: DataFrame, y: str, pred: str) -> DataFrame:
@@ -176,7 +176,7 @@ def concordance(df: DataFrame, time: str, event: str, risk: str, **kw) -> DataFr
     totals = cells.groupBy("at").agg(F.sum("n").alias("alive"))
     out = cum.join(totals, "at")
     good = F.sum(F.col("d") * ((F.col("upto") - F.col("n")) + F.col("n") / 2))
-    return out.agg(F.sum(F.col("d") * F.col("alive")).alias("pairs"), rnd(F.try_divide(good, F.sum(F.col("d") * F.col("alive")))).alias("c_index"))
+    return out.agg(F.sum(F.col("d") * F.col("alive")).alias("pairs"), rnd(F.try_divide(good, F.sum(F.col("d").cast("double") * F.col("alive")))).alias("c_index"))
 
 
 def reclassification(df: DataFrame, old: Column, new: Column) -> DataFrame:

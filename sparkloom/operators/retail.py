@@ -39,7 +39,7 @@ def basket_pairs(df: DataFrame, basket: str, item: str, min_support: float = 0.0
     ca, cb = (counts.select(F.col(item).alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     j = g.join(ca, "a").join(cb, "b")
     return j.select("a", "b", "n_both", rnd(F.col("n_both") / F.lit(float(n)), 6).alias("support"), rnd(ratio(F.col("n_both"), F.col("n_a")), 6).alias("confidence"),
-                    rnd(F.col("n_both") * F.lit(float(n)) / (F.col("n_a") * F.col("n_b")), 6).alias("lift"))
+                    rnd(F.col("n_both") * F.lit(float(n)) / (F.col("n_a").cast("double") * F.col("n_b")), 6).alias("lift"))
 
 
 def frequent_sets(df: DataFrame, basket: str, item: str, min_support: float, min_confidence: float):

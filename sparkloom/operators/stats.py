@@ -149,7 +149,7 @@ def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
     ra = cells.groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("x"))
     rb = cells.groupBy(F.col("b").alias("c")).agg(F.sum("n").alias("y"))
-    expected = ra.join(rb, "c").agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0
+    expected = ra.join(rb, "c").agg(F.sum(F.col("x").cast("double") * F.col("y"))).first()[0] or 0
     s = cells.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
     n, pe = F.col("n").cast("double"), F.lit(float(expected)) / F.pow(F.col("n").cast("double"), 2)
     return s.select("n", rnd(F.col("same") / n, 5).alias("agreement"), rnd(F.try_divide(F.col("same") / n - pe, 1 - pe), 5).alias("kappa"))
