@@ -272,7 +272,6 @@ def dbscan(df: DataFrame, key: str, coords: list[str], eps: float, min_samples:
     only around sparse cells.
     """
     from sparkloom.operators.graph import components
-    from sparkloom.operators.neighbours import _around
 
     dims = len(coords)
     side = eps / dims ** 0.5
