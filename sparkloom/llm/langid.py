@@ -28,8 +28,8 @@ SAMPLE = 5000
 VOLUME, GRAMS = 1 << 20, 4096
 #: Unit vectors are rounded to this many steps, so that sums do not depend on their order.
 STEPS = 4096
-#: Documents whose best cosine is below this are rejected by the filter.
-MIN_SCORE = 0.05
+#: Documents whose best cosine is not above this are rejected by the filter; very short clean texts score low, so it is low.
+MIN_SCORE = 0.0
 
 
 @lru_cache(maxsize=1)
@@ -210,9 +210,9 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def keep_known(docs: DataFrame, min_score: float = MIN_SCORE, size: int = SIZE, seed: int = SEED, sample: int = SAMPLE) -> DataFrame:
-    """docs without those whose language cannot be told: `und`, or a best cosine below min_score. Columns are those of docs."""
+    """docs without those whose language cannot be told: `und`, or a best cosine that is not above min_score. Columns are those of docs."""
     profiles = prototypes(docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")), size, seed, sample)
     names = {c: f"__llm_{i}" for i, c in enumerate(docs.columns)}  # a column of docs may have any name
     other = docs.select(*[F.col(c).alias(n) for c, n in names.items()], "text")
-    found = predict(other, profiles, list(names.values()), size, seed).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    found = predict(other, profiles, list(names.values()), size, seed).where((F.col("lang_pred") != "und") & (F.col("score") > min_score))
     return found.select(*[F.col(n).alias(c) for c, n in names.items()])

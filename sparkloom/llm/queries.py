@@ -111,3 +111,76 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents")
     return mixing.shuffled(mixing.replicated(docs, mixing.target_rates(docs)), docs.columns, "copy", "order_key")
+
+
+OP3_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT a AS origin, a AS place FROM links UNION SELECT r.origin, l.b FROM reach r JOIN links l ON l.a = r.place
+), low AS (SELECT origin, min(place) AS component_id FROM reach GROUP BY origin),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(l.component_id, v.vec_id) AS component_id, v.vec_id = coalesce(l.component_id, v.vec_id) AS kept
+FROM embeddings v LEFT JOIN low l ON l.origin = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
+@query("op3_embedding_dedup", OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from sparkloom.llm import neardup
+
+    return neardup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+  SELECT page_id, octet_length(payload) AS n, upper(sha1(payload)) AS hex, min(page_id) OVER (PARTITION BY sha1(payload)) AS low FROM p
+)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> low THEN low END AS refers_to
+FROM d
+"""
+
+
+@query("op4_warc", OP4_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from sparkloom.llm import warc
+    from sparkloom.session import new_scratch_path
+
+    path = new_scratch_path(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_fingerprints")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from sparkloom.llm import syncmers
+
+    return syncmers.edited_likeness(table(spark, folder, "documents"))
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from sparkloom.llm import langid, quality
+
+    docs = table(spark, folder, "documents").withColumn("held_out", langid.held_out(F.col("doc_id"), 5, 0))
+    labels = table(spark, folder, "labels").where(~langid.held_out(F.col("doc_id"), 5, 0)).select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(docs.where(~F.col("held_out")), labels)
+    return quality.score(docs, model, ["doc_id", "held_out"])
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from sparkloom.llm import suffixdedup
+
+    return suffixdedup.remove_repeats(table(spark, folder, "documents"))
