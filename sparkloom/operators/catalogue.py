@@ -19,7 +19,8 @@ def fenced_records(df: DataFrame, key: str, text: str, schema: str = ENTRY) -> D
 
 
 def with_ids(df: DataFrame) -> DataFrame:
-    made = F.substring(F.sha1(F.concat_ws("|", "area", "title")), 1, 12)
+    """Entries without an id get the whole digest of area and title: part of it would collide in large tables."""
+    made = F.sha1(F.concat_ws("|", "area", "title"))
     return df.withColumn("id", F.coalesce("id", made))
 
 

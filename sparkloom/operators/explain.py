@@ -26,21 +26,20 @@ def linear_contributions(df: DataFrame, coefficients: dict[str, float], k: int =
     return out.orderBy(F.desc("mean_abs"), "feature").limit(k)
 
 
-def shapley_sample(df: DataFrame, key: str, features: list[str], score: Callable[[DataFrame], DataFrame], rows: int = 500, permutations: int = 8) -> DataFrame:
-    """Permutation-sampled Shapley values of a hashed sample of rows (sampling is the operator).
+def shapley_sample(df: DataFrame, key: str, features: list[str], score: Callable[[DataFrame], DataFrame], background: int = 256, permutations: int = 8) -> DataFrame:
+    """Permutation-sampled Shapley values of all rows.
 
-    Each sampled row is paired by rank with one background row per permutation; along the permutation
-    its features replace the background's one by one. All perturbed rows are scored in one transform.
-    score: adds a column `score` to rows with the features.
+    Each row is paired with one background row per permutation; along the permutation its features replace the background's one
+    by one. All perturbed rows are scored in one transform. The background is a hashed sample of at most about `background`
+    rows. score: adds a column `score` to rows with the features.
     """
     import random
 
     rng = random.Random(42)
-    pick = df.select(key, *features).orderBy(hash_bucket(F.concat(F.col(key).cast("string"), F.lit("s")), 1 << 31), key).limit(rows)
-    w = W.orderBy(hash_bucket(F.concat(F.col(key).cast("string"), F.lit("s")), 1 << 31), key)  # at most `rows` rows
-    sample = pick.withColumn("_i", F.row_number().over(w))
-    n = sample.count()
-    back = sample.select(F.col("_i").alias("_b"), *[F.col(c).alias(f"_b_{c}") for c in features])
+    chance = min(1.0, background / max(df.count(), 1))
+    pick = df.select(key, *features).where(hash_bucket(F.concat(F.col(key).cast("string"), F.lit("s")), 1 << 30) <= int(chance * (1 << 30)))
+    back = pick.select(F.row_number().over(W.orderBy(key)).alias("_b"), *[F.col(c).alias(f"_b_{c}") for c in features])  # the sample only
+    n = back.count()
     orders = []
     for p in range(permutations):
         o = list(range(len(features)))
@@ -48,8 +47,8 @@ def shapley_sample(df: DataFrame, key: str, features: list[str], score: Callable
         orders.append(o)
     steps = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).alias("s"), F.array(*[F.lit(f in o[:s]) for f in range(len(features))]).alias("own"), F.lit(o[s - 1] if s else -1).alias("f"))
                       for p, o in enumerate(orders) for s in range(len(features) + 1)])
-    grid = sample.select("*", F.explode(steps).alias("_s")).withColumn("_b", (F.col("_i") * 7 + F.col("_s.p") * 131) % F.lit(max(n, 1)) + 1)
-    mixed = grid.join(back, "_b").select(key, "_s.p", "_s.s", "_s.f", *[F.when(F.col("_s.own")[i], F.col(c)).otherwise(F.col(f"_b_{c}")).alias(c) for i, c in enumerate(features)])
+    grid = df.select(key, *features, F.explode(steps).alias("_s")).withColumn("_b", hash_bucket(F.concat_ws("#", F.col(key).cast("string"), F.col("_s.p").cast("string")), max(n, 1)) + 1)
+    mixed = grid.join(F.broadcast(back), "_b").select(key, "_s.p", "_s.s", "_s.f", *[F.when(F.col("_s.own")[i], F.col(c)).otherwise(F.col(f"_b_{c}")).alias(c) for i, c in enumerate(features)])
     scored = score(mixed).select(key, "p", "s", "f", "score")
     w = W.partitionBy(key, "p").orderBy("s")  # features + 1 rows
     gain = scored.withColumn("g", F.col("score") - F.lag("score").over(w)).where("s > 0").groupBy(key, "f").agg(F.avg("g").alias("phi"))

@@ -124,17 +124,22 @@ def missingness_probe(df: DataFrame, flag: str, others: list[str]) -> DataFrame:
 
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Variance inflation: diagonal of the inverted correlation matrix (p x p on the driver)."""
+    """Variance inflation: diagonal of the inverted correlation matrix (p x p on the driver); infinite for columns that others determine.
+
+    Correlations come unrounded from one pass, centred sums as Spark's corr keeps them.
+    """
     import numpy as np
 
-    r = {(x["a"], x["b"]): x["r"] for x in correlations(df, columns).collect()}
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
+    r = df.agg(F.count("*"), *[F.corr(F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double")) for i, j in pairs]).first()[1:]
     m = np.eye(len(columns))
-    for i, a in enumerate(columns):
-        for j, b in enumerate(columns):
-            if i < j:
-                m[i, j] = m[j, i] = r[(a, b)] or 0.0
-    inv = np.linalg.pinv(m)
-    return df.sparkSession.createDataFrame([(c, round(float(inv[i, i]), 4)) for i, c in enumerate(columns)], "column string, vif double")
+    for (i, j), x in zip(pairs, r):
+        m[i, j] = m[j, i] = x if x is not None and np.isfinite(x) else 0.0
+    values, vectors = np.linalg.eigh(m)
+    near = values > 1e-12 * len(columns)
+    inverse = (vectors[:, near] ** 2 / values[near]).sum(axis=1)
+    tied = (vectors[:, ~near] ** 2).sum(axis=1) > 1e-9
+    return df.sparkSession.createDataFrame([(c, float("inf") if tied[i] else round(float(inverse[i]), 4)) for i, c in enumerate(columns)], "column string, vif double")
 
 
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -57,15 +57,13 @@ def stays(df: DataFrame, patient: str, admit: str, discharge: str, key: str, wit
 
 
 def comorbidity_index(codes: DataFrame, patient: str, code: str, weights: dict[str, int]) -> DataFrame:
-    """Sum over code groups (by prefix) of the group weight, each group once."""
-    width = {len(p) for p in weights}
-    hits = F.lit(None).cast("int")
-    for w in sorted(width):
-        for p, x in weights.items():
-            if len(p) == w:
-                hits = F.when(F.col(code).startswith(p), x).otherwise(hits)
-    groups = codes.withColumn("_w", hits).where("_w IS NOT NULL").groupBy(patient, F.substring(code, 1, max(width)).alias("_g")).agg(F.max("_w").alias("_w"))
-    return groups.groupBy(patient).agg(F.sum("_w").alias("index"))
+    """Sum over code groups of the group weight, each group once. A group is a prefix of `weights`; a code is in that of its longest."""
+    group = F.lit(None).cast("string")
+    for p in sorted(weights, key=len):
+        group = F.when(F.col(code).startswith(p), p).otherwise(group)
+    weight = F.create_map(*[F.lit(x) for item in weights.items() for x in item])
+    groups = codes.withColumn("_g", group).where("_g IS NOT NULL").select(patient, "_g").distinct()
+    return groups.groupBy(patient).agg(F.sum(weight[F.col("_g")]).alias("index"))
 
 
 def overlaps(df: DataFrame, patient: str, start: str, end: str, key: str, first: Column, second: Column, **kw) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from sparkloom.operators.neighbours import knn
-from sparkloom.operators.ordered import Spec, running
+from sparkloom.operators.ordered import Spec, row_numbers, running
 from sparkloom.operators.quantiles import exact_quantiles
 from sparkloom.session import cut_lineage
 
@@ -99,16 +99,20 @@ def iterative_impute(df: DataFrame, row_id: str, columns: list[str], rounds: int
 
 
 def low_rank_impute(df: DataFrame, row_id: str, columns: list[str], rank: int = 2, rounds: int = 8) -> DataFrame:
-    """Matrix completion: scaled cells as (row, column, value) for alternating least squares."""
+    """Matrix completion: scaled cells as (row, column, value) for alternating least squares, which wants 32-bit rows: they get dense codes."""
+    codes = row_numbers(df.select(F.col(row_id).alias("_id")).distinct(), [], ["_id"], "_code")
+    if codes.count() >= 1 << 31:
+        raise ValueError("more rows than 32-bit codes")
+    df = df.join(codes.select("_id", F.col("_code").cast("int").alias("_code")), F.col(row_id).eqNullSafe(F.col("_id"))).drop("_id")
     stats = df.agg(*[e for c in columns for e in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))]).first()
     cells = F.array(*[F.struct(F.lit(i).alias("j"), ((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0)).alias("v")) for i, c in enumerate(columns)])
-    long = df.select(F.col(row_id).cast("int").alias("_row"), F.inline(cells))
+    long = df.select(F.col("_code").alias("_row"), F.inline(cells))
     model = ALS(userCol="_row", itemCol="j", ratingCol="v", rank=rank, maxIter=rounds, regParam=0.05, seed=7).fit(long.where("v IS NOT NULL"))
     guess = model.transform(long.where("v IS NULL").drop("v"))
     wide = guess.groupBy("_row").agg(*[F.max(F.when(F.col("j") == i, F.col("prediction"))).alias(f"_f_{c}") for i, c in enumerate(columns)])
-    joined = df.join(wide, F.col(row_id).cast("int") == F.col("_row"), "left")
+    joined = df.join(wide, F.col("_code") == F.col("_row"), "left")
     return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"_f_{c}") * F.lit(stats[f"s_{c}"] or 1.0) + F.lit(stats[f"m_{c}"])) for c in columns}).drop(
-        "_row", *[f"_f_{c}" for c in columns])
+        "_row", "_code", *[f"_f_{c}" for c in columns])
 
 
 def choose_strategy(summary: DataFrame) -> DataFrame:

@@ -30,14 +30,16 @@ def churn_flags(df: DataFrame, customer: str, at: str, as_of: Column, limits=(30
     return g.select(customer, "idle", *[(F.col("idle") > x).alias(f"churned_{x}") for x in limits], stage.alias("stage"))
 
 
-def cohorts(df: DataFrame, customer: str, period: Column, gap, width: int) -> DataFrame:
-    """Share of each first-period cohort seen again k periods later; gap(later, first) counts periods."""
+def cohorts(df: DataFrame, customer: str, period: Column, gap) -> DataFrame:
+    """(cohort, size, k, n, share): customers of each first-period cohort seen again k periods later, for every k there is.
+
+    gap(later, first) counts periods.
+    """
     seen = df.select(F.col(customer), period.alias("_p")).distinct()
     first = seen.groupBy(customer).agg(F.min("_p").alias("cohort"))
     k = seen.join(first, customer).withColumn("k", gap(F.col("_p"), F.col("cohort")))
     size = first.groupBy("cohort").agg(F.count("*").alias("size"))
-    wide = k.groupBy("cohort").pivot("k", list(range(width))).count().fillna(0)
-    return wide.join(size, "cohort").select("cohort", "size", *[rnd(F.col(str(i)) / F.col("size")).alias(f"k{i}") for i in range(width)])
+    return k.groupBy("cohort", "k").agg(F.count("*").alias("n")).join(size, "cohort").select("cohort", "size", "k", "n", rnd(F.col("n") / F.col("size")).alias("share"))
 
 
 def funnel(df: DataFrame, customer: str, at: str, kind: str, steps: list[str], within: str) -> DataFrame:

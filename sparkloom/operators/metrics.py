@@ -163,19 +163,22 @@ def clinical(df: DataFrame) -> DataFrame:
 def concordance(df: DataFrame, time: str, event: str, risk: str, **kw) -> DataFrame:
     """Share of comparable pairs that the risk orders correctly.
 
-    Rows are counted per (event time, risk) for the times they outlive; times are whole periods of a
-    study, so this is rows x periods, and pairs are never built.
+    Times are numbered in order. Two numbers first differ in one binary digit: at that digit's level the earlier row and the later one
+    stand on the two sides of one node. So each row takes part once per level, a node's later rows are counted along the risk,
+    and no pair is built: rows x log2(times).
     """
-    g = df.groupBy(time, risk).agg(F.count("*").alias("n"), F.sum(event).alias("d"))
-    times = g.where("d > 0").select(time).distinct().agg(F.sort_array(F.collect_list(time)).alias("_ts")).first()[0]
-    at = F.array(*[F.lit(x) for x in times])
-    outlive = g.select(F.explode(F.filter(at, lambda x: x < F.col(time))).alias("at"), F.col(risk).alias("risk"), "n", F.lit(0).cast("bigint").alias("d"))
-    fail = g.where("d > 0").select(F.col(time).alias("at"), F.col(risk).alias("risk"), F.lit(0).cast("bigint").alias("n"), "d")
-    cells = outlive.unionByName(fail).groupBy("at", "risk").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-    cum = running(cells, ["at"], ["risk"], {"upto": Spec("sum", F.col("n"))}, **kw)
-    totals = cells.groupBy("at").agg(F.sum("n").alias("alive"))
-    out = cum.join(totals, "at")
-    good = F.sum(F.col("d") * ((F.col("upto") - F.col("n")) + F.col("n") / 2))
+    g = df.where(F.col(time).isNotNull() & F.col(risk).isNotNull()).groupBy(time, risk).agg(F.count("*").alias("n"), F.sum(event).alias("d"))
+    codes = row_numbers(g.select(F.col(time).alias("_t")).distinct(), [], ["_t"], "_code", **kw)
+    levels = max(1, int(codes.count()).bit_length())
+    bits = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_level")
+    placed = g.join(codes, F.col(time) == F.col("_t")).select("_code", F.col(risk).alias("risk"), "n", F.coalesce("d", F.lit(0)).alias("d"), bits)
+    later = F.expr("shiftright(_code, _level) & 1")
+    node = placed.select("_level", F.expr("shiftright(_code, _level + 1)").alias("_node"), "risk", F.when(later == 1, F.col("n")).otherwise(0).alias("n"), F.when(later == 0, F.col("d")).otherwise(0).alias("d"))
+    cells = node.groupBy("_level", "_node", "risk").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    below = running(cells, ["_level", "_node"], ["risk"], {"less": Spec("sum", F.col("n"))}, before="rows", **kw)
+    alive = cells.groupBy("_level", "_node").agg(F.sum("n").alias("alive"))
+    out = below.join(alive, ["_level", "_node"])
+    good = F.sum(F.col("d") * (F.coalesce("less", F.lit(0)) + F.col("n") / 2))
     return out.agg(F.sum(F.col("d") * F.col("alive")).alias("pairs"), rnd(F.try_divide(good, F.sum(F.col("d").cast("double") * F.col("alive")))).alias("c_index"))
 
 

@@ -6,6 +6,7 @@ import random
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
@@ -22,6 +23,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.functions.exprs import hash_bucket, rnd
+from sparkloom.operators.ordered import row_numbers
 from sparkloom.operators.splits import class_weights, undersample
 from sparkloom.session import cut_lineage, new_scratch_path
 
@@ -348,29 +350,71 @@ def eliminate_features(df: DataFrame, features: list[str], target: str, keep: in
     return df.sparkSession.createDataFrame(rows, "column string, by_elimination boolean, univariate boolean, dropped_at int")
 
 
-def isolation_scores(df: DataFrame, key: str, features: list[str], trees: int = 25, sample: int = 256, seed: int = SEED) -> DataFrame:
-    """Anomaly score from random split trees over fixed-size hashed samples; all rows are scored by expressions."""
+def _average_path(n: int) -> float:
+    """Mean depth of an unsuccessful search in a tree of n rows."""
     import math
 
-    rng = random.Random(seed)
-    rows = df.select(key, *features).orderBy(hash_bucket(F.concat(F.col(key).cast("string"), F.lit("iso")), 1 << 31)).limit(sample * 4).collect()
-    depth_cap = math.ceil(math.log2(sample))
+    return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+
+def _isolation_tree(rows, rng, cap: int) -> tuple[list[int], list[float], list[int], list[int]]:
+    """(feature or -1, cut or path length, left, right) per node."""
+    import numpy as np
 
-    def norm(n):
-        return 0.0 if n <= 1 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
+    feature, value, left, right = [], [], [], []
 
     def grow(part, depth):
-        live = [f for f in features if len({r[f] for r in part}) > 1]
-        if depth >= depth_cap or len(part) <= 1 or not live:
-            return F.lit(depth + norm(len(part)))
-        f = rng.choice(live)
-        lo, hi = min(r[f] for r in part), max(r[f] for r in part)
-        cut_at = rng.uniform(lo, hi)
-        return F.when(F.col(f) < cut_at, grow([r for r in part if r[f] < cut_at], depth + 1)).otherwise(grow([r for r in part if r[f] >= cut_at], depth + 1))
+        at = len(feature)
+        for column in (feature, value, left, right):
+            column.append(-1)
+        spread = np.fmax.reduce(part) > np.fmin.reduce(part) if len(part) > 1 else np.zeros(part.shape[1], dtype=bool)
+        if depth >= cap or not spread.any():
+            value[at] = depth + _average_path(len(part))
+            return at
+        f = rng.choice([int(i) for i in np.flatnonzero(spread)])
+        cut = rng.uniform(float(np.fmin.reduce(part[:, f])), float(np.fmax.reduce(part[:, f])))
+        low = part[:, f] < cut
+        feature[at], value[at] = f, cut
+        left[at] = grow(part[low], depth + 1)
+        right[at] = grow(part[~low], depth + 1)
+        return at
+
+    grow(rows, 0)
+    return feature, value, left, right
 
-    paths = [grow(rng.sample(rows, min(sample, len(rows), 64)), 0) for _ in range(trees)]
-    mean = sum(paths, F.lit(0.0)) / len(paths)
-    return df.select(key, F.pow(F.lit(2.0), -mean / norm(min(sample, 64))).alias("score"))
+
+def isolation_scores(df: DataFrame, key: str, features: list[str], trees: int = 25, sample: int = 256, seed: int = SEED) -> DataFrame:
+    """Anomaly score of all rows from random split trees over a hashed sample of `sample` rows for each tree.
+
+    What reaches the driver is about twice trees x sample rows, whatever the table's size. A null goes the way of large values.
+    """
+    import math
+
+    import numpy as np
+
+    rng = random.Random(seed)
+    n = df.count()
+    picked = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(1 << 30)) < F.lit(int(min(1.0, 2 * sample / max(n, 1)) * (1 << 30))))
+    drawn = df.select(F.explode(picked).alias("_t"), key, *[F.col(f).cast("double").alias(f) for f in features]).select("_t", F.xxhash64(F.col(key), "_t").alias("_h"), *features).collect()
+    forest = []
+    for t in range(trees):
+        rows = sorted((r["_h"], *(float("nan") if r[f] is None else r[f] for f in features)) for r in drawn if r["_t"] == t)[:sample]
+        if rows:
+            forest.append([np.array(x) for x in _isolation_tree(np.array(rows)[:, 1:], rng, math.ceil(math.log2(max(sample, 2))))])
+    scale = _average_path(min(sample, n)) or 1.0
+
+    def score(rows: pd.DataFrame) -> pd.Series:
+        x = rows.to_numpy(dtype=float, na_value=float("nan"))
+        total = np.zeros(len(x))
+        for feature, value, left, right in forest:
+            node = np.zeros(len(x), dtype=int)
+            while (inner := feature[node] >= 0).any():
+                at = node[inner]
+                node[inner] = np.where(x[inner, feature[at]] < value[at], left[at], right[at])
+            total += value[node]
+        return pd.Series(2.0 ** (-total / max(len(forest), 1) / scale))
+
+    return df.select(key, F.pandas_udf(score, "double")(F.struct(*[F.col(f).cast("double").alias(f) for f in features])).alias("score"))
 
 
 def calibrate(scored: DataFrame, method: str = "sigmoid") -> DataFrame:
@@ -384,19 +428,34 @@ def calibrate(scored: DataFrame, method: str = "sigmoid") -> DataFrame:
 
 
 def recommend(df: DataFrame, user: str, item: str, weight: str, k: int = 5, rank: int = 8) -> DataFrame:
-    d = df.select(F.col(user).cast("int").alias("user"), F.col(item).cast("int").alias("item"), F.col(weight).cast("float").alias("w"))
-    m = ALS(userCol="user", itemCol="item", ratingCol="w", implicitPrefs=True, rank=rank, maxIter=5, seed=SEED).fit(d)
-    return m.recommendForAllUsers(k).select("user", F.explode("recommendations").alias("r")).select("user", "r.item", "r.rating")
-
-
-def topics(df: DataFrame, key: str, words: str, k: int = 5, vocabulary: int = 5000) -> DataFrame:
-    v = CountVectorizer(inputCol=words, outputCol="features", vocabSize=vocabulary, minDF=2).fit(df)
-    m = LDA(k=k, maxIter=10, seed=SEED, optimizer="online").fit(v.transform(df))
-    terms = m.describeTopics(5)
-    listed = F.array(*[F.lit(w) for w in v.vocabulary]) if len(v.vocabulary) <= 1000 else None
-    if listed is None:
-        return terms.select("topic", "termIndices")
-    return terms.select("topic", F.array_join(F.transform("termIndices", lambda i: F.element_at(listed, i + 1)), ",").alias("terms"))
+    """The k best items of each user. The learner wants 32-bit ids, so users and items get dense codes by a join."""
+    users, items = (row_numbers(df.select(F.col(c).alias(n)).where(F.col(c).isNotNull()).distinct(), [], [n], f"_{n}") for c, n in ((user, "user"), (item, "item")))
+    for n, table in (("user", users), ("item", items)):
+        if table.count() >= 1 << 31:
+            raise ValueError(f"more {n}s than 32-bit codes")
+    d = df.select(F.col(user).alias("user"), F.col(item).alias("item"), F.col(weight).cast("float").alias("w")).join(users, "user").join(items, "item")
+    d = d.select(F.col("_user").cast("int").alias("_user"), F.col("_item").cast("int").alias("_item"), "w")
+    m = ALS(userCol="_user", itemCol="_item", ratingCol="w", implicitPrefs=True, rank=rank, maxIter=5, seed=SEED).fit(d)
+    best = m.recommendForAllUsers(k).select("_user", F.explode("recommendations").alias("r")).select("_user", "r._item", "r.rating")
+    return best.join(users, "_user").join(items, "_item").select("user", "item", "rating")
+
+
+def topics(df: DataFrame, key: str, words: str, k: int = 5, terms: int = 5, buckets: int = 1 << 18) -> DataFrame:
+    """(topic, terms): the leading terms of each topic, joined by commas.
+
+    Words are hashed into a fixed number of buckets, so every word counts however many there are; a bucket is named after its
+    most frequent word.
+    """
+    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("string")
+    hashed = df.select(key, F.transform(words, bucket).alias("_b"))
+    v = CountVectorizer(inputCol="_b", outputCol="features", vocabSize=buckets).fit(hashed)
+    m = LDA(k=k, maxIter=10, seed=SEED, optimizer="online").fit(v.transform(hashed))
+    top = m.describeTopics(terms).select("topic", F.posexplode("termIndices").alias("place", "i"))
+    index = df.sparkSession.createDataFrame(list(enumerate(v.vocabulary)), "i int, _b string")  # at most `buckets` rows
+    counts = df.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    names = counts.groupBy(bucket(F.col("w")).alias("_b")).agg(F.max_by("w", F.struct("n", "w")).alias("w"))
+    named = top.join(index, "i").join(names, "_b")
+    return named.groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("place", "w"))).alias("x")).select("topic", F.array_join("x.w", ",").alias("terms"))
 
 
 def principal_components(df: DataFrame, features: list[str], k: int) -> DataFrame:

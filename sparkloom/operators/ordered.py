@@ -1,23 +1,23 @@
 """Ordered computations that survive hot keys.
 
-A window partitioned by an entity puts all rows of that entity in one task. Here the order axis
-is cut into slices at fixed cut points, the window runs per (entity, slice), and what earlier
-slices leave behind (sums, last values, ...) is carried over from a summary with one row per
-(entity, slice). The rows are shuffled once; the summary is bounded by entities x slices.
-Small inputs get no cut points and therefore a plain window.
+A window partitioned by an entity puts all rows of that entity in one task. Here the rows are range-partitioned by entity and
+order (all order columns, so that ties of the first one and text are cut too), a partition is a slice, the window runs per
+(entity, slice), and what earlier slices leave behind (sums, last values, ...) is carried over from a summary with one row
+per (entity, slice). Slices hold about the same number of rows, however many rows there are; an entity of ordinary size lies in one or two of them.
+Small inputs are one slice, a plain window. spark.sparkloom.rowsPerSlice sets the size of a slice.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
 from sparkloom.functions.exprs import micros
+from sparkloom.session import cut_lineage
 
 ROWS_PER_SLICE = 1_000_000
-MAX_SLICES = 4096
+SLICE_SETTING = "spark.sparkloom.rowsPerSlice"
 
 
 @dataclass(frozen=True)
@@ -29,43 +29,31 @@ class Spec:
 
 
 def axis(df: DataFrame, name: str) -> Column:
-    """The order column as a double, so that it can be cut."""
+    """The order column in a type that ranges are counted in, without loss: whole numbers stay whole."""
     kind = df.schema[name].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return micros(name).cast("double")
+        return micros(name)
     if isinstance(kind, T.DateType):
-        return F.unix_date(F.col(name)).cast("double")
-    return F.col(name).cast("double")
+        return F.unix_date(F.col(name)).cast("bigint")
+    return F.col(name)
 
 
 def _whole(df: DataFrame, name: str) -> bool:
-    return not isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType, T.DecimalType))
+    return isinstance(df.schema[name].dataType, (T.IntegralType, T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
-def cut_points(df: DataFrame, name: str, rows_per_slice: int = ROWS_PER_SLICE) -> list[float]:
-    """Cut points for about rows_per_slice rows each; none when the table is small.
+def slice_count(df: DataFrame, rows_per_slice: int | None = None) -> int:
+    """Slices of about rows_per_slice rows; their number grows with the table."""
+    size = rows_per_slice or int(df.sparkSession.conf.get(SLICE_SETTING, str(ROWS_PER_SLICE)))
+    return max(1, -(-df.count() // size))
 
-    Only a fixed number of quantiles reaches the driver, whatever the table size.
-    """
-    grid = [i / 1024 for i in range(1, 1024)]
-    row = df.select(axis(df, name).alias("x")).agg(
-        F.count("x").alias("n"), F.percentile_approx("x", grid, 10_000).alias("q")
-    ).first()
-    wanted = min(MAX_SLICES, -(-(row["n"] or 0) // rows_per_slice))
-    if wanted <= 1 or not row["q"]:
-        return []
-    step = max(1, len(row["q"]) // wanted)
-    return sorted(set(row["q"][step - 1::step]))
-
-
-def add_slice(df: DataFrame, name: str, cuts: list[float], out: str = "_slice") -> DataFrame:
-    """Slice number of each row; nulls share one extra slice."""
-    if not cuts:
-        return df.withColumn(out, F.lit(0.0))
-    splits = [float("-inf"), *cuts, float("inf")]
-    marked = df.withColumn("_axis", axis(df, name))
-    cutter = Bucketizer(splits=splits, inputCol="_axis", outputCol=out, handleInvalid="keep")
-    return cutter.transform(marked).drop("_axis")
+
+def add_slice(df: DataFrame, by: list[str], slices: int, out: str = "_slice") -> DataFrame:
+    """Rows with the number of their range of `by` (ascending, nulls first). The ranges are stored, so that every use of the result sees the same."""
+    if slices <= 1:
+        return df.withColumn(out, F.lit(0))
+    ranged = df.repartitionByRange(slices, *[F.col(c).asc_nulls_first() for c in by])
+    return cut_lineage(ranged.withColumn(out, F.spark_partition_id()))
 
 
 def _local(spec: Spec, window) -> Column:
@@ -114,35 +102,34 @@ def running(
     *,
     before: str = "through",
     descending: bool = False,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
-    """Add running values per key in the given order.
+    """Add running values per key in the given order; nulls come first, or last if descending.
 
     before: 'through' includes the current row, 'rows' stops at the previous row, 'range' stops
     before the current value of the first order column (all its ties are left out).
     """
-    cuts = cut_points(df, order[0], rows_per_slice)
+    slices = slice_count(df, rows_per_slice)
+    if before == "range" and (slices > 1 or not _whole(df, order[0])):
+        return _before_value(df, keys, order, specs, descending, rows_per_slice)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    sliced = add_slice(df, order[0], cuts)
+    sliced = add_slice(df, [*keys, *order], slices)
     base = W.partitionBy(*keys, "_slice")
     if before == "range":
-        ordered = base.orderBy((-axis(df, order[0]) if descending else axis(df, order[0])).asc())
-        if _whole(df, order[0]):
-            window = ordered.rangeBetween(W.unboundedPreceding, -1)
-        else:
-            window = None
-            through, ties = ordered.rangeBetween(W.unboundedPreceding, 0), ordered.rangeBetween(0, 0)
-    else:
-        ordered = base.orderBy(*[direction(c) for c in order])
-        window = ordered.rowsBetween(W.unboundedPreceding, 0 if before == "through" else -1)
-    if window is not None:
-        values = [_local(s, window).alias(n) for n, s in specs.items()]
+        at = axis(df, order[0])
+        window = base.orderBy(at.desc() if descending else at.asc()).rangeBetween(W.unboundedPreceding, -1)
     else:
-        if any(s.kind not in ("sum", "count") for s in specs.values()):
-            raise ValueError("values before a fractional one are worked out for sums and counts only")
-        values = [(_local(s, through) - _local(s, ties)).alias(n) for n, s in specs.items()]
-    out = sliced.select("*", *values)
-    if not cuts:
+        window = base.orderBy(*[direction(c) for c in order]).rowsBetween(W.unboundedPreceding, 0 if before == "through" else -1)
+    values = {n: _local(s, window) for n, s in specs.items()}
+    if before == "range":
+        # a range frame of a null holds the other nulls; what comes before a null is nothing, or all that is not null
+        null, others = F.col(order[0]).isNull(), W.partitionBy(*keys, "_slice")
+        for n, s in specs.items():
+            nothing = F.lit(0 if s.kind == "count" else None)
+            rest = _total(Spec(s.kind, F.when(~null, s.value)), F.col(order[0]), True).over(others) if descending else nothing
+            values[n] = F.when(null, rest).otherwise(values[n])
+    out = sliced.select("*", *[v.alias(n) for n, v in values.items()])
+    if slices <= 1:
         return out.drop("_slice")
 
     sort_key = F.struct(*[F.col(c) for c in order])
@@ -166,6 +153,24 @@ def running(
     )
 
 
+def _before_value(df: DataFrame, keys: list[str], order: list[str], specs: dict[str, Spec], descending: bool, rows_per_slice: int | None) -> DataFrame:
+    """Values before the current value of order[0]: totals per value, then a running value over the different ones.
+
+    Ties are one row, so a value that many rows share is summed before it is shuffled.
+    """
+    at = order[0]
+    sort_key = F.struct(*[F.col(c) for c in order])
+    totals = df.groupBy(*keys, at).agg(*[_total(s, sort_key, descending).alias(f"_t_{n}") for n, s in specs.items()])
+    carried = {f"_c_{n}": Spec("sum" if s.kind == "count" else s.kind, F.col(f"_t_{n}")) for n, s in specs.items()}
+    steps = running(totals, keys, [at], carried, before="rows", descending=descending, rows_per_slice=rows_per_slice)
+    steps = steps.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, at]], *carried)
+    same = F.col(at).eqNullSafe(F.col(f"_k_{at}"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    filled = {n: F.coalesce(F.col(f"_c_{n}"), F.lit(0)) if s.kind == "count" else F.col(f"_c_{n}") for n, s in specs.items()}
+    return df.join(steps, same, "left").select(*[c for c in df.columns if c not in specs], *[e.alias(n) for n, e in filled.items()])
+
+
 def previous(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str], **kw) -> DataFrame:
     """Values of the previous row of the key: {output: column}; null on the first row."""
     packed = {f"_p_{o}": Spec("last", F.struct(F.col(c).alias("v"))) for o, c in columns.items()}
@@ -273,4 +278,4 @@ def cumulative(
 
 
 __all__ = ["Spec", "running", "previous", "following", "row_numbers", "tiles", "tile_of", "sliding", "asof",
-           "islands", "cumulative", "cut_points", "add_slice", "axis"]
+           "islands", "cumulative", "slice_count", "add_slice", "axis"]

@@ -1,8 +1,9 @@
 """Exact quantiles without a task that holds all values.
 
-Each round counts rows per bucket inside a bracket around every wanted rank and keeps the bucket
-that holds it. A round is a scan with a map-side count, so nothing but bucket counts is shuffled.
-The loop ends when a bracket holds few values, or one.
+Approximate quantiles, which one scan gives for all columns, set a narrow bracket around every wanted rank; a second scan
+counts the rows below and inside the brackets, and a third one fetches what is inside. A bracket with too many rows is narrowed first: each round
+counts rows per bucket and keeps the bucket that holds the rank. A scan counts on the map side, so nothing but counts is
+shuffled. NaN counts as null; infinities are counted at both ends.
 """
 
 from __future__ import annotations
@@ -14,35 +15,61 @@ from pyspark.sql import DataFrame, functions as F
 from sparkloom.operators.ordered import running, Spec
 
 BUCKETS = 512
+#: Different values that all open brackets together may bring to the driver.
 FINISH_AT = 50_000
+#: Brackets start this far on both sides of a rank, as a share of all rows; approximate ranks are off by at most 1 / ACCURACY.
+MARGIN, ACCURACY = 0.001, 5000
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     buckets: int = BUCKETS, finish_at: int = FINISH_AT) -> dict[str, list[float | None]]:
     """{column: [quantile per prob]} with linear interpolation between order statistics."""
-    base = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    number = lambda c: F.col(c).cast("double")
+    base = df.select(*[F.when(~F.isnan(number(c)), number(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    finite = lambda i: F.when(F.abs(f"c{i}") < float("inf"), F.col(f"c{i}"))
+    grid = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-MARGIN, MARGIN)})
     stats = base.agg(*[e for i in range(len(columns)) for e in (
-        F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"lo{i}"), F.max(f"c{i}").alias(f"hi{i}"))]).first()
+        F.count(f"c{i}").alias(f"n{i}"), F.count_if(F.col(f"c{i}") == float("-inf")).alias(f"neg{i}"), F.count(finite(i)).alias(f"fin{i}"),
+        F.min(finite(i)).alias(f"lo{i}"), F.max(finite(i)).alias(f"hi{i}"), F.percentile_approx(finite(i), grid, ACCURACY).alias(f"q{i}"))]).first()
     # wanted order statistics: (column, rank) -> [low, high, rows below low, rows in bracket]
     open_, done = {}, {}
     for i in range(len(columns)):
-        n = stats[f"n{i}"]
+        n, neg, fin = stats[f"n{i}"], stats[f"neg{i}"], stats[f"fin{i}"]
         for p in probs if n else []:
             spot = p * (n - 1)
             for rank in {math.floor(spot), math.ceil(spot)}:
-                open_[(i, rank)] = (stats[f"lo{i}"], stats[f"hi{i}"], 0, n)
+                if not neg <= rank < neg + fin:
+                    done[(i, rank)] = float("-inf") if rank < neg else float("inf")
+                    continue
+                share = (rank - neg) / max(fin - 1, 1)
+                below, above = [q for g, q in zip(grid, stats[f"q{i}"]) if g <= share - MARGIN / 2], [q for g, q in zip(grid, stats[f"q{i}"]) if g >= share + MARGIN / 2]
+                open_[(i, rank)] = (max(below, default=stats[f"lo{i}"]), min(above, default=stats[f"hi{i}"]), neg, fin)
+    if open_:
+        open_ = _placed(base, open_, stats)
     while open_:
         for key, (lo, hi, _, _) in list(open_.items()):
             if lo == hi:
                 done[key] = lo
                 del open_[key]
-        small = {k: b for k, b in open_.items() if b[3] <= finish_at}
+        room, small = finish_at, {}
+        sizes: dict[tuple, int] = {}
+        for key, b in sorted(open_.items(), key=lambda x: x[1][3]):
+            place = (key[0], b[0], b[1])
+            if place not in sizes:
+                if b[3] > room:
+                    continue
+                sizes[place] = b[3]
+                room -= b[3]
+            small[key] = b
         if small:
             done.update(_finish(base, small))
             for k in small:
                 del open_[k]
-        if open_:
-            open_ = _narrow(base, open_, buckets)
+        if open_ and not small:
+            narrower = _narrow(base, open_, buckets)
+            if any(narrower[k] == open_[k] for k in open_):
+                raise RuntimeError("a bracket does not get narrower")
+            open_ = narrower
     out = {}
     for i, c in enumerate(columns):
         n = stats[f"n{i}"]
@@ -52,12 +79,25 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                 row.append(None)
                 continue
             spot = p * (n - 1)
-            a, b = done[(i, math.floor(spot))], done[(i, math.ceil(spot))]
-            row.append(a + (b - a) * (spot - math.floor(spot)))
+            a, b, part = done[(i, math.floor(spot))], done[(i, math.ceil(spot))], spot - math.floor(spot)
+            row.append(a if a == b or not part else a + (b - a) * part)
         out[c] = row
     return out
 
 
+def _placed(base: DataFrame, open_: dict, stats) -> dict:
+    """The first brackets with their counts; a rank that its bracket misses gets the whole range of its column."""
+    ids = _brackets(open_)
+    counts = base.agg(*[e for (i, lo, hi), b in ids.items() for e in (
+        F.count_if(F.col(f"c{i}") < lo).alias(f"b{b}"), F.count_if((F.col(f"c{i}") >= lo) & (F.col(f"c{i}") <= hi)).alias(f"n{b}"))]).first()
+    out = {}
+    for (i, rank), (lo, hi, _, _) in open_.items():
+        b = ids[(i, lo, hi)]
+        below, inside = counts[f"b{b}"], counts[f"n{b}"]
+        out[(i, rank)] = (lo, hi, below, inside) if below <= rank < below + inside else (stats[f"lo{i}"], stats[f"hi{i}"], stats[f"neg{i}"], stats[f"fin{i}"])
+    return out
+
+
 def _brackets(open_):
     """Distinct (column, low, high) brackets, numbered."""
     ids = {}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.functions.exprs import hash_bucket, ladder
 from sparkloom.operators.neighbours import knn
-from sparkloom.operators.ordered import row_numbers
+from sparkloom.operators.ordered import Spec, row_numbers, running
 
 
 def hash_split(df: DataFrame, key: str, share: float = 0.2) -> DataFrame:
@@ -83,12 +83,24 @@ def smote(df: DataFrame, key: str, target: str, coords: list[str], k: int = 5) -
     return made.withColumn(target, F.lit(1))
 
 
-# Distribution function of Poisson(1) at 0, 1, 2, ...
-POISSON = [0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941]
+def poisson_steps(mean: float = 1.0) -> list[float]:
+    """Distribution function at 0, 1, 2, ... until a double holds no more of it."""
+    import math
+
+    out, mass = [], math.exp(-mean)
+    while not out or mass > 2.0**-54:
+        out.append((out[-1] if out else 0.0) + mass)
+        mass *= mean / len(out)
+    return out
+
+
+POISSON = poisson_steps()
 
 
 def poisson_weight(key: str, rep: int) -> Column:
-    u = hash_bucket(F.concat(F.col(key).cast("string"), F.lit(f"#{rep}")), 100_000) / 100_000.0
+    """The smallest count whose distribution function lies above a hash with 52 bits, a number between 0 and 1."""
+    digits = F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{rep}"))), 1, 13)
+    u = F.conv(digits, 16, 10).cast("double") / F.lit(float(2**52))
     return ladder(u, [(p, i) for i, p in enumerate(POISSON)], len(POISSON))
 
 
@@ -106,9 +118,18 @@ def bootstrap_means(df: DataFrame, key: str, value: str, reps: int, batch: int =
     return out
 
 
-def negative_pairs(pairs: DataFrame, user: str, item: str, n_items: int, per_pair: int = 1) -> DataFrame:
-    """Hashed items for each positive pair that the user has no positive pair with."""
-    known = pairs.select(user, item).distinct()
-    seeds = known.select(user, item, F.explode(F.sequence(F.lit(0), F.lit(per_pair - 1))).alias("_j"))
-    drawn = seeds.select(user, hash_bucket(F.concat_ws("-", user, item, "_j"), n_items).alias(item)).distinct()
-    return drawn.join(known, [user, item], "left_anti")
+def negative_pairs(pairs: DataFrame, user: str, item: str, items: DataFrame, per_pair: int = 1, **kw) -> DataFrame:
+    """per_pair items of the item table for each positive pair of a user, all different and none with a positive pair of the user.
+
+    Items are numbered in hashed order. The j-th free item of a user is j plus the known items before it, so a draw takes free numbers
+    in a row from a hashed start: nothing collides, nothing is drawn again. A user with fewer free items than that gets all of them.
+    """
+    numbered = row_numbers(items.select(item).distinct().withColumn("_h", F.md5(F.col(item).cast("string"))), [], ["_h", item], "_n", **kw).select(item, (F.col("_n") - 1).alias("_n"))
+    n = numbered.count()
+    known = pairs.select(user, item).distinct().join(numbered, item).select(user, "_n")
+    marks = row_numbers(known, [user], ["_n"], "_i", **kw).select(user, (F.col("_n") - F.col("_i") + 1).alias("_at"), F.lit(0).alias("_draw"))
+    sizes = known.groupBy(user).agg((F.count("*") * per_pair).alias("_k"), (F.lit(n) - F.count("*")).alias("_free")).where("_free > 0")
+    draws = sizes.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least("_k", "_free") - 1)))
+    draws = draws.select(user, ((hash_bucket(user, 1 << 31) + F.col("_j")) % F.col("_free")).alias("_at"), F.lit(1).alias("_draw"))
+    counted = running(marks.unionByName(draws), [user], ["_at", "_draw"], {"_before": Spec("count", F.when(F.col("_draw") == 0, 1))}, **kw)
+    return counted.where("_draw = 1").select(user, (F.col("_at") + F.col("_before")).alias("_n")).join(numbered, "_n").select(user, item)

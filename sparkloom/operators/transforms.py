@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.functions.exprs import hash_bucket
 from sparkloom.operators.ordered import row_numbers
 from sparkloom.operators.quantiles import exact_quantiles
 
-# Categories fitted as literals (one column each); wider ones go through a mapping table.
+# Categories fitted as literals (one column each); wider ones become a sparse vector by a mapping table.
 MAX_ONE_HOT = 200
 
 
@@ -136,21 +137,34 @@ def minmax_scaling(train, c):
 
 
 def one_hot_encoding(train, c):
-    """Sorted categories, first one dropped, null gives all zeros."""
+    """Sorted categories, first one dropped, null gives all zeros.
+
+    Up to MAX_ONE_HOT categories become a column each; more of them one sparse vector column `<c>_onehot`, whose places are the label codes.
+    """
     found = [r[0] for r in train.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).distinct().orderBy("v").limit(MAX_ONE_HOT + 1).collect()]
     if len(found) > MAX_ONE_HOT:
-        return _skip(f"more than {MAX_ONE_HOT} categories")
+        return _one_hot_vector(train, c)
     text = F.col(c).cast("string")
     cols = [(f"{c}_{v}", F.when(text == v, 1).otherwise(0)) for v in found[1:]]
     return Fitted(lambda df: df.select("*", *[e.alias(n) for n, e in cols]).drop(c), [n for n, _ in cols])
 
 
+def _one_hot_vector(train, c):
+    codes = label_codes(train, c)
+    width = codes.count() - 1
+    out = f"{c}_onehot"
+
+    @F.udf(VectorUDT())
+    def vector(code):
+        return Vectors.sparse(width, [] if code is None or code < 1 else [(int(code) - 1, 1.0)])
+
+    return Fitted(lambda df: _mapped(df, c, codes, "_code", None, out=out).withColumn(out, vector(out)).drop(c), [out])
+
+
 def label_codes(train: DataFrame, c: str) -> DataFrame:
     """Codes 0.. by the order of the value as text; numbered without a single-partition window."""
     distinct = train.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("_v")).distinct()
-    # text has no numeric axis to cut, so slice by a monotone prefix code
-    code = F.conv(F.hex(F.rpad(F.substring(F.col("_v").cast("binary"), 1, 5), 5, F.unhex(F.lit("00")))), 16, 10).cast("double")
-    return row_numbers(distinct.withColumn("_a", code), [], ["_a", "_v"], "_rn").select("_v", (F.col("_rn") - 1).cast("bigint").alias("_code"))
+    return row_numbers(distinct, [], ["_v"], "_rn").select("_v", (F.col("_rn") - 1).cast("bigint").alias("_code"))
 
 
 def _mapped(df: DataFrame, c: str, mapping: DataFrame, value: str, otherwise: Column | None, null_text: str | None = None,
@@ -344,8 +358,10 @@ class FittedPlan:
         return df
 
 
-def fit_plan(train: DataFrame, plan: dict[str, list], target: str | None = None) -> FittedPlan:
-    """Fit the named transforms of each column in order; a failing step is logged, not fatal."""
+def fit_plan(train: DataFrame, plan: dict[str, list], target: str | None = None, on_error: str = "raise") -> FittedPlan:
+    """Fit the named transforms of each column in order. A step that fails raises; on_error="skip" logs it and leaves it out."""
+    if on_error not in ("raise", "skip"):
+        raise ValueError("on_error must be raise or skip")
     steps, log, current = [], [], train
     for c, names in plan.items():
         for i, name in enumerate(names):
@@ -362,6 +378,8 @@ def fit_plan(train: DataFrame, plan: dict[str, list], target: str | None = None)
                 steps.append(f)
                 log.append((c, i, name, "applied", "", ",".join(f.new_columns)))
             except Exception as ex:
+                if on_error == "raise":
+                    raise
                 log.append((c, i, name, "error", type(ex).__name__, ""))
     table = train.sparkSession.createDataFrame(log, "column string, step int, transform string, status string, reason string, new_columns string")
     return FittedPlan(steps, table)

@@ -27,9 +27,9 @@ def dom_03(t):
 
 @query("dom_04", """WITH s AS (SELECT DISTINCT o_custkey, year(o_orderdate) AS p FROM orders), f AS (SELECT o_custkey, min(p) AS cohort FROM s GROUP BY 1), k AS (SELECT cohort, p - cohort AS k FROM s JOIN f USING (o_custkey)),
   z AS (SELECT cohort, count(*) AS size FROM f GROUP BY 1)
-  SELECT CAST(cohort AS INTEGER) AS cohort, any_value(size) AS size, """ + ", ".join(f"round(count(*) FILTER (k = {i}) / any_value(size), 4) AS k{i}" for i in range(6)) + " FROM k JOIN z USING (cohort) GROUP BY 1")
+  SELECT CAST(cohort AS INTEGER) AS cohort, any_value(size) AS size, CAST(k AS INTEGER) AS k, count(*) AS n, round(count(*) / any_value(size), 4) AS share FROM k JOIN z USING (cohort) GROUP BY cohort, k""")
 def dom_04(t):
-    return k.cohorts(t.orders, "o_custkey", F.year("o_orderdate"), lambda p, c: p - c, 6)
+    return k.cohorts(t.orders, "o_custkey", F.year("o_orderdate"), lambda p, c: p - c)
 
 
 @query("dom_05", """WITH a AS (SELECT user_id, min(ts) AS t0 FROM events WHERE event_type = 'view' GROUP BY 1),

@@ -128,7 +128,7 @@ def dom_33(t):
     return he.stays(v, "o_custkey", "admit", "discharge", "o_orderkey").select("o_orderkey", "length_of_stay", "readmitted")
 
 
-@query("dom_34", """WITH c AS (SELECT o_custkey, substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 3) AS code FROM orders), w AS (SELECT o_custkey, substr(code, 1, 2) AS g, max(CASE WHEN code LIKE 'a1%' THEN 6 WHEN code LIKE 'a%' THEN 1 WHEN code LIKE 'b%' THEN 2 WHEN code LIKE 'c%' THEN 3 END) AS w FROM c GROUP BY 1, 2)
+@query("dom_34", """WITH c AS (SELECT o_custkey, substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 3) AS code FROM orders), w AS (SELECT DISTINCT o_custkey, CASE WHEN code LIKE 'a1%' THEN 6 WHEN code LIKE 'a%' THEN 1 WHEN code LIKE 'b%' THEN 2 WHEN code LIKE 'c%' THEN 3 END AS w FROM c)
   SELECT o_custkey, CAST(sum(w) AS BIGINT) AS index FROM w WHERE w IS NOT NULL GROUP BY 1""")
 def dom_34(t):
     c = t.orders.select("o_custkey", F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 3).alias("code"))

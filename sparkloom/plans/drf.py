@@ -122,4 +122,5 @@ def drf_10(t):
   FROM s a JOIN s b ON a.period = b.period AND a.arm = 1 AND b.arm = 0""")
 def drf_11(t):
     arm = F.when(hash_bucket("event_id", 10) == 0, 1).otherwise(0)
-    return d.canary(t.events, arm, F.date_format("ts", "yyyy-MM-dd"), F.col("event_type") == "error", "value")
+    out = d.canary(t.events, arm, F.date_format("ts", "yyyy-MM-dd"), F.col("event_type") == "error", "value")
+    return out.where("n_canary > 0 AND n_control > 0")

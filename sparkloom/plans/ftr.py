@@ -199,7 +199,7 @@ def ftr_27(t):
 def ftr_28(t):
     plan = {"value": ["median_imputation", "indicator_feature", "standard_scaling"], "event_type": ["label_encoding", "no_such_step"]}
     d = ev(t)
-    fitted = f.fit_plan(d, plan)
+    fitted = f.fit_plan(d, plan, on_error="skip")
     counts = {r["status"]: r["count"] for r in fitted.log.groupBy("status").count().collect()}
     out = fitted.transform(d).select("event_id", "event_type", rnd(F.col("value")).alias("value"))
     return out.withColumns({"n_applied": F.lit(counts.get("applied", 0)), "n_skipped": F.lit(counts.get("skipped", 0)), "n_error": F.lit(counts.get("error", 0))})

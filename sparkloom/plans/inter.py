@@ -34,7 +34,7 @@ def int_03(t):
     asm = VectorAssembler(inputCols=FEATS, outputCol="features")
     score = lambda d: e.probability(model.transform(asm.transform(d)))
     d = t.orders_target.select("o_orderkey", *[F.col(c).cast("double").alias(c) for c in FEATS])
-    phi = e.shapley_sample(d, "o_orderkey", FEATS, score, 500, 4)
+    phi = e.shapley_sample(d, "o_orderkey", FEATS, score, permutations=4)
     return phi.groupBy("feature").agg(F.count("*").alias("n"), F.round(F.avg(F.abs("phi")), 4).alias("mean_abs"))
 
 

@@ -7,7 +7,7 @@ from sparkloom.operators import catalogue as c
 from sparkloom.plans.catalog import query
 from sparkloom.plans.views import H
 
-IDS = "ids AS (SELECT * REPLACE (coalesce(id, substr(sha1(concat_ws('|', area, title)), 1, 12)) AS id) FROM kb)"
+IDS = "ids AS (SELECT * REPLACE (coalesce(id, sha1(concat_ws('|', area, title))) AS id) FROM kb)"
 LATEST = "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY added_date DESC, seq) AS rn FROM ids) WHERE rn = 1)"
 
 

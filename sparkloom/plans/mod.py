@@ -142,7 +142,7 @@ def mod_18(t):
 
 @query("mod_19")
 def mod_19(t):
-    return m.topics(t.documents.select("doc_id", tokens(F.col("text")).alias("words")), "doc_id", "words", 4, 1000)
+    return m.topics(t.documents.select("doc_id", tokens(F.col("text")).alias("words")), "doc_id", "words", 4)
 
 
 @query("mod_20")

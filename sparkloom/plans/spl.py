@@ -74,8 +74,8 @@ def spl_10(t):
 
 
 def _poisson_sql(rep):
-    u = f"{H(f'event_id || chr(35) || {rep}', 100000)} / 100000.0"
-    return "CASE " + " ".join(f"WHEN {u} < {p} THEN {i}" for i, p in enumerate(s.POISSON)) + f" ELSE {len(s.POISSON)} END"
+    u = f"(('0x' || substr(md5(event_id || chr(35) || {rep}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+    return "CASE " + " ".join(f"WHEN {u} < {p!r}::DOUBLE THEN {i}" for i, p in enumerate(s.POISSON)) + f" ELSE {len(s.POISSON)} END"
 
 
 @query("spl_11", " UNION ALL ".join(f"SELECT {r} AS rep, round(sum(w * value) / sum(w), 4) AS mean FROM (SELECT value, {_poisson_sql(r)} AS w FROM events)" for r in range(20)))
@@ -83,8 +83,10 @@ def spl_11(t):
     return s.bootstrap_means(t.events, "event_id", "value", 20).select("rep", rnd(F.col("mean")).alias("mean"))
 
 
-@query("spl_12", f"""WITH k AS (SELECT DISTINCT o_custkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-  SELECT DISTINCT o_custkey, {H("o_custkey || '-' || l_suppkey || '-0'", 100)} AS l_suppkey FROM k EXCEPT SELECT o_custkey, l_suppkey FROM k""")
+@query("spl_12", f"""WITH it AS (SELECT s_suppkey AS l_suppkey, row_number() OVER (ORDER BY md5(CAST(s_suppkey AS VARCHAR)), s_suppkey) - 1 AS n FROM supplier),
+  k AS (SELECT DISTINCT o_custkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey), u AS (SELECT o_custkey, count(*) AS k, (SELECT count(*) FROM it) - count(*) AS free FROM k GROUP BY 1),
+  f AS (SELECT u.*, it.l_suppkey, row_number() OVER (PARTITION BY u.o_custkey ORDER BY it.n) - 1 AS j FROM u CROSS JOIN it LEFT JOIN k ON k.o_custkey = u.o_custkey AND k.l_suppkey = it.l_suppkey WHERE k.l_suppkey IS NULL)
+  SELECT o_custkey, l_suppkey FROM f WHERE (j - {H("o_custkey", 1 << 31)} % free + free) % free < k""")
 def spl_12(t):
     pairs = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return s.negative_pairs(pairs, "o_custkey", "l_suppkey", 100)
+    return s.negative_pairs(pairs, "o_custkey", "l_suppkey", t.supplier.withColumnRenamed("s_suppkey", "l_suppkey"))

@@ -1,5 +1,7 @@
 """Source, sink and landing queries; files are written from the tables and read back."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F, types as T
 
 from sparkloom.functions.exprs import hash_bucket
@@ -80,11 +82,25 @@ def src_09(t):
     return a.withColumn("same_in_any_order", F.lit(a.first() == r.table_fingerprint(t.orders.repartition(7, "o_custkey")).first()))
 
 
-@query("src_10", f"SELECT count(*) AS total, count(*) FILTER (k < 7) AS tabular, count(*) FILTER (k = 7) AS image, count(*) FILTER (k = 8) AS heavy_doc, 'tabular' AS track, 0.85::DOUBLE AS confidence, false AS ambiguous FROM (SELECT {H('event_id', 10)} AS k FROM events)")
+CENSUS = [".csv", ".parquet", ".feather", ".xls", "/train.csv", ".png", ".markdown", ".pdf", ".aac", ".bin"]
+
+
+@query("src_10", f"""WITH f AS (SELECT event_type AS folder, {H('event_id', 10)} AS k FROM events), c AS (SELECT folder, count(*) AS total, count(*) FILTER (k < 5) AS tabular, count(*) FILTER (k = 5) AS image, count(*) FILTER (k = 8) AS audio,
+    count(*) FILTER (k IN (6, 7)) AS text_doc, count(*) FILTER (k = 7) AS heavy_doc, count(*) FILTER (k = 4) AS label_file FROM f WHERE (folder <> 'view' OR k = 5 OR k = 6) AND (folder <> 'click' OR k > 5) AND (folder <> 'error' OR k = 6 OR k = 4) GROUP BY 1)
+  SELECT folder, total, tabular, image, audio, text_doc, heavy_doc, label_file,
+    CASE WHEN image / total >= 0.6 THEN 'dl' WHEN audio / total >= 0.6 THEN 'dl' WHEN heavy_doc / total >= 0.4 OR (text_doc / total >= 0.6 AND heavy_doc > 0) THEN 'rag' WHEN text_doc / total >= 0.6 THEN CASE WHEN label_file > 0 THEN 'dl' ELSE 'rag' END
+      WHEN tabular / total >= 0.6 THEN 'tabular' WHEN tabular = greatest(tabular, image, audio, text_doc) THEN 'tabular' WHEN greatest(image, audio) = greatest(tabular, image, audio, text_doc) THEN 'dl' ELSE 'rag' END AS track,
+    CASE WHEN image / total >= 0.6 THEN CASE WHEN text_doc / total >= 0.2 THEN 0.7 ELSE 0.85 END WHEN audio / total >= 0.6 OR heavy_doc / total >= 0.4 OR (text_doc / total >= 0.6 AND heavy_doc > 0) THEN 0.85
+      WHEN text_doc / total >= 0.6 THEN CASE WHEN label_file > 0 THEN 0.75 ELSE 0.6 END WHEN tabular / total >= 0.6 THEN 0.85 ELSE 0.4 END::DOUBLE AS confidence FROM c""")
 def src_10(t):
-    k = hash_bucket("event_id", 10)
-    names = t.events.select(F.concat(F.lit("/data/f"), F.col("event_id").cast("string"), F.when(k < 7, ".csv").when(k == 7, ".png").when(k == 8, ".pdf").otherwise(".bin")).alias("path"))
-    return r.census(names).select("total", "tabular", "image", "heavy_doc", "track", "confidence", "ambiguous")
+    """One file tree per event type, each with its own mix of files."""
+    k, kind = hash_bucket("event_id", 10), F.col("event_type")
+    kept = ((kind != "view") | k.isin(5, 6)) & ((kind != "click") | (k > 5)) & ((kind != "error") | k.isin(4, 6))
+    tail = F.array(*[F.lit(x) for x in CENSUS])[k.cast("int")]
+    names = t.events.where(kept).select("event_type", F.concat(F.lit("/data/f"), F.col("event_id").cast("string"), tail).alias("path"))
+    folders = [r[0] for r in names.select("event_type").distinct().orderBy("event_type").collect()]
+    out = [r.census(names.where(F.col("event_type") == x)).withColumn("folder", F.lit(x)) for x in folders]
+    return reduce(lambda a, b: a.unionByName(b), out).select("folder", "total", "tabular", "image", "audio", "text_doc", "heavy_doc", "label_file", "track", "confidence")
 
 
 @query("src_11", "SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day, count(*) AS n FROM events GROUP BY 1, 2, 3")

@@ -186,7 +186,7 @@ def _runs(t):
 
 # One row per document, read as a knowledge entry.
 @view("kb", f"""SELECT CASE WHEN {H('doc_id', 9)} = 0 THEN NULL ELSE 'k' || CAST(doc_id // 2 AS VARCHAR) END AS id,
-  substr(text, 1, 24) AS title, text AS body, source AS category, lang AS area,
+  text AS title, text AS body, source AS category, lang AS area,
   DATE '2024-01-01' + CAST({H('doc_id', 40)} AS INTEGER) AS added_date,
   CASE {H('doc_id', 5)} WHEN 0 THEN 'deprecation' WHEN 1 THEN 'pitfall' ELSE 'technique' END AS kind,
   CASE WHEN {H('doc_id', 6)} = 0 THEN ['cross-cutting', lang] ELSE [lang] END AS tags,
@@ -196,7 +196,7 @@ def _kb(t):
     kind = F.when(h("doc_id", 5) == 0, "deprecation").when(h("doc_id", 5) == 1, "pitfall").otherwise("technique")
     return t.documents.select(
         F.when(h("doc_id", 9) != 0, F.concat(F.lit("k"), F.floor(F.col("doc_id") / 2).cast("string"))).alias("id"),
-        F.substring("text", 1, 24).alias("title"), F.col("text").alias("body"), F.col("source").alias("category"),
+        F.col("text").alias("title"), F.col("text").alias("body"), F.col("source").alias("category"),
         F.col("lang").alias("area"), F.date_add(F.lit("2024-01-01").cast("date"), h("doc_id", 40).cast("int")).alias("added_date"),
         kind.alias("kind"),
         F.when(h("doc_id", 6) == 0, F.array(F.lit("cross-cutting"), F.col("lang"))).otherwise(F.array("lang")).alias("tags"),

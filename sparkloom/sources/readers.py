@@ -115,35 +115,45 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.bit_xor(h).alias("xor_hash"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("sum_hash"))
 
 
-# File families by suffix.
+# File families by suffix, documents that point to retrieval, and names of label files.
 FAMILIES = {
-    "tabular": ["csv", "tsv", "parquet", "pq", "json", "jsonl", "xlsx"],
-    "image": ["jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff", "webp"],
-    "audio": ["wav", "mp3", "flac", "ogg", "m4a"],
-    "video": ["mp4", "avi", "mov", "mkv"],
-    "text_doc": ["txt", "md", "rst"],
-    "heavy_doc": ["pdf", "html", "htm", "docx", "epub"],
+    "tabular": ["csv", "parquet", "pq", "xlsx", "xls", "feather", "tsv", "json", "jsonl"],
+    "image": ["png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff", "gif"],
+    "audio": ["wav", "mp3", "flac", "ogg", "m4a", "aac"],
+    "video": ["mp4", "mov", "avi", "mkv", "webm"],
+    "text_doc": ["pdf", "md", "markdown", "html", "htm", "docx", "rst", "txt", "epub"],
 }
+HEAVY_DOCS = ["pdf", "docx", "epub", "html", "htm"]
+LABEL_FILES = ["labels.csv", "labels.json", "train.csv", "metadata.csv", "annotations.json", "annotations.csv"]
 
 
 def census(files: DataFrame) -> DataFrame:
-    """files: path. Family counts of a file tree and the kind of project they point to."""
-    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    family = F.lit("other")
-    for name, suffixes in FAMILIES.items():
-        family = F.when(ext.isin(suffixes), name).otherwise(family)
-    labelled = F.lower(F.regexp_extract("path", r"([^/]+)$", 1)).isin("labels.csv", "labels.json", "annotations.json", "classes.txt")
-    g = files.agg(F.count("*").alias("total"), F.count_if(labelled).alias("labels"), *[F.count_if(family == n).alias(n) for n in FAMILIES])
-    part = lambda *names: F.try_divide(sum((F.col(n) for n in names), F.lit(0)).cast("double"), F.col("total").cast("double"))
-    docs = part("text_doc", "heavy_doc")
-    picks = [(part("image") >= 0.6, "dl", 0.85, False), (part("audio") >= 0.6, "dl", 0.85, False), (part("video") >= 0.6, "dl", 0.85, False), (part("heavy_doc") >= 0.4, "rag", 0.85, False),
-             ((docs >= 0.6) & (F.col("labels") > 0), "dl", 0.75, False), (docs >= 0.6, "rag", 0.6, True), (part("tabular") >= 0.6, "tabular", 0.85, False)]
-    biggest = F.greatest(F.col("tabular"), F.col("image"), F.col("audio"), F.col("text_doc") + F.col("heavy_doc"))
-    rest = F.when(F.col("tabular") == biggest, "tabular").when((F.col("image") == biggest) | (F.col("audio") == biggest), "dl").otherwise("rag")
-    track, conf, unclear = rest, F.lit(0.4), F.lit(True)
-    for cond, name, c, u in reversed(picks):
-        track, conf, unclear = F.when(cond, name).otherwise(track), F.when(cond, c).otherwise(conf), F.when(cond, u).otherwise(unclear)
-    return g.select("total", *FAMILIES, track.alias("track"), conf.alias("confidence"), unclear.alias("ambiguous"))
+    """files: path. Family counts of a file tree, and the kind of project they point to with a subtype and confidence.
+
+    The first rule that holds decides; without one it is the largest family, with a flag that this is a guess.
+    """
+    name = F.lower(F.regexp_extract("path", r"([^/]+)$", 1))
+    ext = F.regexp_extract(name, r".\.([a-z0-9]+)$", 1)
+    counts = {family: F.count_if(ext.isin(suffixes)) for family, suffixes in FAMILIES.items()}
+    counts |= {"heavy_doc": F.count_if(ext.isin(HEAVY_DOCS)), "label_file": F.count_if(name.isin(LABEL_FILES))}
+    g = files.agg(F.count("*").alias("total"), *[e.alias(n) for n, e in counts.items()])
+    part = lambda n: F.col(n) / F.col("total")
+    guess = F.element_at(F.array_sort(F.array(*[F.struct((-F.col(n)).alias("n"), F.lit(i).alias("i"), F.lit(track).alias("track"), F.lit(sub).alias("subtype"))
+                                                for i, (n, track, sub) in enumerate([("tabular", "tabular", None), ("image", "dl", "cv-classification"), ("audio", "dl", "audio"), ("text_doc", "rag", "text-rag")])])), 1)
+    rules = [  # condition, track, subtype, confidence, ambiguous
+        (F.col("total") == 0, "tabular", None, 0.0, True),
+        ((part("image") >= 0.6) & (part("text_doc") >= 0.2), "dl", "multimodal", 0.7, True),
+        (part("image") >= 0.6, "dl", "cv-classification", 0.85, False),
+        (part("audio") >= 0.6, "dl", "audio", 0.85, False),
+        ((part("heavy_doc") >= 0.4) | ((part("text_doc") >= 0.6) & (F.col("heavy_doc") > 0)), "rag", "text-rag", 0.85, False),
+        ((part("text_doc") >= 0.6) & (F.col("label_file") > 0), "dl", "nlp-classification", 0.75, False),
+        (part("text_doc") >= 0.6, "rag", "text-rag", 0.6, True),
+        (part("tabular") >= 0.6, "tabular", None, 0.85, False),
+    ]
+    found = F.struct(guess["track"].alias("track"), guess["subtype"].alias("subtype"), F.lit(0.4).alias("confidence"), F.lit(True).alias("ambiguous"))
+    for holds, track, sub, confidence, ambiguous in reversed(rules):
+        found = F.when(holds, F.struct(F.lit(track).alias("track"), F.lit(sub).cast("string").alias("subtype"), F.lit(confidence).alias("confidence"), F.lit(ambiguous).alias("ambiguous"))).otherwise(found)
+    return g.withColumn("_f", found).select("total", *counts, "_f.track", "_f.subtype", "_f.confidence", "_f.ambiguous")
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:

@@ -36,7 +36,7 @@ def test_transforms_fit_on_train_only(spark):
 
 def test_plan_survives_errors(spark):
     d = spark.createDataFrame([(1.0,), (1.0,)], "x double")
-    log = {r["transform"]: r["status"] for r in transforms.fit_plan(d, {"x": ["standard_scaling", "nothing_here"]}).log.collect()}
+    log = {r["transform"]: r["status"] for r in transforms.fit_plan(d, {"x": ["standard_scaling", "nothing_here"]}, on_error="skip").log.collect()}
     assert log == {"standard_scaling": "skipped", "nothing_here": "error"}
 
 
