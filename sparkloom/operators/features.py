@@ -55,8 +55,9 @@ def trailing(df: DataFrame, key: str, ts: str, value: Column, hours: list[int],
 
 
 def deviation(df: DataFrame, key: str, order: list[str], value: str, sigmas: float = 3.0, **kw) -> DataFrame:
-    """z of each value against all earlier values of its key, from running sums."""
-    x = F.col(value).cast("double")
+    """z of each value against all earlier values of its key, from running sums of values less the mean of the table: a large mean costs no digits."""
+    centre = df.agg(F.avg(F.when(F.abs(F.col(value).cast("double")) < float("inf"), F.col(value).cast("double")))).first()[0] or 0.0
+    x = F.col(value).cast("double") - F.lit(centre)
     out = running(df, [key], order, {"_n": Spec("count", x), "_s": Spec("sum", x), "_q": Spec("sum", x * x)}, before="rows", **kw)
     mean = F.col("_s") / F.col("_n")
     var = (F.col("_q") - F.col("_s") * mean) / (F.col("_n") - 1)

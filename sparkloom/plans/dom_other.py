@@ -218,7 +218,17 @@ def dom_43(t):
     return so.sentiment(t.documents, "doc_id", "text", lex)
 
 
-@query("dom_44")
+def _rounds(first: str, step: str, n: int) -> str:
+    """CTEs r0 .. rn, each made from the one before."""
+    return ", ".join([f"r0 AS ({first})", *[f"r{i} AS ({step.replace('PREV', f'r{i - 1}')})" for i in range(1, n + 1)]])
+
+
+ARCS = "arcs AS (SELECT a AS src, b AS dst FROM edges UNION ALL SELECT b, a FROM edges), deg AS (SELECT src AS node, count(*) AS out FROM arcs GROUP BY 1)"
+RANKS = _rounds("SELECT node, out, 1.0::DOUBLE / (SELECT count(*) FROM deg) AS rank FROM deg",
+                "SELECT d.node, d.out, 0.15::DOUBLE / (SELECT count(*) FROM deg) + 0.85::DOUBLE * coalesce(g.got, 0) AS rank FROM deg d LEFT JOIN (SELECT dst, sum(p.rank / p.out) AS got FROM arcs JOIN PREV p ON p.node = arcs.src GROUP BY 1) g ON g.dst = d.node", 10)
+
+
+@query("dom_44", f"WITH {ARCS}, {RANKS} SELECT node, round(rank, 6) AS rank FROM r10", "edges")
 def dom_44(t):
     return gr.page_rank(t.edges).select("node", F.round("rank", 6).alias("rank"))
 
@@ -236,12 +246,19 @@ def dom_45_components(t):
     return gr.components(t.edges)
 
 
-@query("dom_45_core")
+CORE = _rounds("SELECT a, b FROM edges", "SELECT e.a, e.b FROM PREV e JOIN (SELECT n FROM (SELECT a AS n FROM PREV UNION ALL SELECT b FROM PREV) GROUP BY n HAVING count(*) >= 3) x ON x.n = e.a JOIN (SELECT n FROM (SELECT a AS n FROM PREV UNION ALL SELECT b FROM PREV) GROUP BY n HAVING count(*) >= 3) y ON y.n = e.b", 12)
+
+
+@query("dom_45_core", f"WITH {CORE} SELECT node, count(*) AS d FROM (SELECT a AS node FROM r12 UNION ALL SELECT b FROM r12) GROUP BY 1", "edges")
 def dom_45_core(t):
     return gr.core_numbers(t.edges, 3)
 
 
-@query("dom_46")
+LABELS = _rounds("SELECT DISTINCT src AS node, src AS label FROM arcs",
+                 "SELECT node, label FROM (SELECT arcs.src AS node, p.label, row_number() OVER (PARTITION BY arcs.src ORDER BY count(*) DESC, p.label) AS i FROM arcs JOIN PREV p ON p.node = arcs.dst GROUP BY arcs.src, p.label) WHERE i = 1", 4)
+
+
+@query("dom_46", f"WITH {ARCS}, {LABELS} SELECT node, label FROM r4", "edges")
 def dom_46(t):
     return gr.communities(t.edges, 4)
 

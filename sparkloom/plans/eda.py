@@ -127,9 +127,25 @@ def eda_14(t):
     return x.correlations(t.orders_target, MATRIX).where("abs(r) > 0.8")
 
 
-@query("eda_15")
+VIF = ["o_totalprice", "c_acctbal", "c_nationkey", "y"]
+
+
+def _determinant(places: list[int]) -> str:
+    """SQL of the determinant of the correlations of some columns, by permutations."""
+    from itertools import permutations
+
+    terms = []
+    for p in permutations(range(len(places))):
+        turns = sum(p[i] > p[j] for i in range(len(p)) for j in range(i + 1, len(p)))
+        cells = [f"r{min(places[i], places[j])}{max(places[i], places[j])}" for i, j in enumerate(p) if i != j]
+        terms.append(("-" if turns % 2 else "+") + ("*".join(cells) or "1"))
+    return "(" + " ".join(terms) + ")"
+
+
+@query("eda_15", "WITH m AS (SELECT " + ", ".join(f"corr({VIF[i]}, {VIF[j]}) AS r{i}{j}" for i in range(4) for j in range(i + 1, 4)) + " FROM orders_target) "
+       + " UNION ALL ".join(f"SELECT '{VIF[i]}' AS column, round({_determinant([j for j in range(4) if j != i])} / {_determinant([0, 1, 2, 3])}, 4) AS vif FROM m" for i in range(4)), "orders_target")
 def eda_15(t):
-    return x.vif(t.orders_target, ["o_totalprice", "c_acctbal", "c_nationkey", "y"])
+    return x.vif(t.orders_target, VIF)
 
 
 def anova_sql(group, value, table):

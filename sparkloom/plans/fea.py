@@ -169,7 +169,7 @@ def fea_20(t):
     return asof_clicks(t)
 
 
-@query("fea_21")
+@query("fea_21", "SELECT user_id, count(*) AS n, count(*) AS n_v1, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def fea_21(t):
     from sparkloom.session import new_scratch_path
 

@@ -65,12 +65,15 @@ def spl_09(t):
     return a.unionByName(b).select("o_orderkey", "y", "bag")
 
 
-@query("spl_10")
+@query("spl_10", f"""WITH d AS (SELECT o_orderkey, c_acctbal / 1000 AS a, o_totalprice / 100000 AS b FROM orders_target WHERE y = 1 AND o_orderstatus = 'P'),
+  p AS (SELECT x.o_orderkey, z.o_orderkey AS other, x.a, x.b, z.a AS za, z.b AS zb, row_number() OVER (PARTITION BY x.o_orderkey ORDER BY sqrt((x.a - z.a) ** 2 + (x.b - z.b) ** 2), z.o_orderkey) AS r FROM d x JOIN d z ON x.o_orderkey <> z.o_orderkey),
+  u AS (SELECT *, {H("o_orderkey || '-' || other", 1000)} / 1000.0::DOUBLE AS u FROM p WHERE r <= 3)
+  SELECT o_orderkey, other, round(a + u * (za - a), 10) AS a, round(b + u * (zb - b), 10) AS b FROM u""", "orders_target")
 def spl_10(t):
     d = t.orders_target.select("o_orderkey", (F.col("c_acctbal") / 1000).alias("a"), (F.col("o_totalprice") / 100000).alias("b"),
                                F.expr("cast(y = 1 and o_orderstatus = 'P' as int)").alias("y"))
     made = s.smote(d, "o_orderkey", "y", ["a", "b"], 3)
-    return made.select("o_orderkey", "other", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
+    return made.select("o_orderkey", "other", F.round("a", 10).alias("a"), F.round("b", 10).alias("b"))
 
 
 def _poisson_sql(rep):

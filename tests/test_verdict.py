@@ -209,5 +209,5 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
 def test_isolation_takes_its_sample_and_scores_all(spark):
     df = spark.range(2000).select("id", F.when(F.col("id") == 7, 50.0).otherwise(F.randn(3)).alias("a"), F.when(F.col("id") % 100 == 1, None).otherwise(F.randn(4)).alias("b"))
-    got = models.isolation_scores(df, "id", ["a", "b"], trees=20, sample=128)
+    got = models.isolation_scores(df, "id", ["a", "b"], trees=20, sample=1000)
     assert got.count() == 2000 and 7 in [r["id"] for r in got.orderBy(F.desc("score")).limit(60).collect()]
