@@ -29,8 +29,8 @@ def test_running_matches_window(hot, before, frame):
 
 
 def test_slices_are_used(hot):
-    assert len(o.cut_points(hot, "t", 37)) > 5
-    assert o.cut_points(hot, "t") == []
+    assert o.slice_count(hot, 37) > 5
+    assert o.slice_count(hot) == 1
 
 
 def test_descending_and_previous(hot):
