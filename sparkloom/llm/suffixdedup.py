@@ -3,10 +3,10 @@
 A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller doc_id.
 
 1. Anchors. Every window of `length` bytes has a minimizer: of its 16-byte grams the one of least hash, the leftmost of equals. Equal
-   windows have equal minimizers at equal places, so suffixes need to meet only where a minimizer's gram occurs in two documents: anchors
-   (gram hash, doc_id, place; one per some 17 bytes) are shuffled by hash, sorted, and single ones drop out.
-2. Contexts. For each anchor left, the text of all windows it is the minimizer of (its suffixes to be sorted) goes to the task
-   of its gram. Equal contexts are answered from their order alone: all but those of the smallest document go.
+   windows have equal minimizers at equal places, so suffixes need to meet only where a minimizer's gram occurs in two documents. Anchors
+   (hash of the gram, hash of the text of all windows it is the minimizer of, doc_id, place; one per some 17 bytes) are shuffled by
+   the first hash and sorted. Of equal texts (96 bits) all but that of the smallest document go; single grams drop out.
+2. Contexts. Of the different texts of a gram the bytes (the suffixes to be sorted) go to the task of the gram.
 3. Deep-shallow sort. The suffixes of the different contexts of a gram are sorted by multikey quicksort, characters of eight bytes, to the shallow depth
    of 16 bytes; each group that is still together is ordered by a blind trie, which looks only at the byte where its members first differ. Suffixes
    that share all `length` bytes end in one leaf: all but those of the leaf's smallest document go.
@@ -97,86 +97,137 @@ def key_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(16)).view(np.int64)
 
 
-ANCHOR = "h long, doc long, at int"
+def context_hashes(hashes: np.ndarray, low: np.ndarray, stop: np.ndarray, anchor: np.ndarray, length: int) -> np.ndarray:
+    """48 bits of a hash of the bytes from low to stop and of the anchor's place in them, from grams that cover them all."""
+    out = mix(((anchor - low).astype(np.uint64) << np.uint64(32)) | (stop - low).astype(np.uint64))
+    for i in range(0, 2 * length - GRAM, GRAM):
+        out = mix(out ^ hashes[np.minimum(low + i, stop - GRAM)])
+    return key_of(out)
+
+
+ANCHOR = "h long, c long, doc long, at int"
+
+
+def anchors_of(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
+    """Of a chunk (bytes, hashes, anchor, its first and last window, its text, its place in the text), places from the chunk's start."""
+    flat, hashes, window, anchor, owner = minimizers(pieces, length)
+    first = starts_of(anchor, owner)
+    last = np.append(first[1:], len(anchor)) - 1
+    sizes = np.array([len(p[2]) for p in pieces])
+    shift = np.array([p[1] for p in pieces]) - (np.cumsum(sizes) - sizes)
+    who, anchor = owner[first], anchor[first]
+    return flat, hashes, anchor, window[first], window[last], np.array([p[0] for p in pieces])[who], anchor + shift[who]
 
 
 def _anchors(length: int):
+    """c: a hash of the text of all windows that the anchor is the minimizer of."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = schema_of(ANCHOR)
         for batch in batches:
             docs, texts = np.asarray(batch.column(0)), as_bytes(batch.column(1))
             for pieces in segments(texts, length):
-                _, hashes, window, anchor, owner = minimizers(pieces, length)
-                first = starts_of(anchor, owner)
-                anchor, owner = anchor[first], owner[first]
-                sizes = np.array([len(p[2]) for p in pieces])
-                shift = np.array([p[1] for p in pieces]) - (np.cumsum(sizes) - sizes)
-                source = np.array([p[0] for p in pieces])
-                yield record(schema, key_of(hashes[anchor]), docs[source[owner]], (anchor + shift[owner]).astype(np.int32))
+                _, hashes, anchor, low, high, source, at = anchors_of(pieces, length)
+                yield record(schema, key_of(hashes[anchor]), context_hashes(hashes, low, high + length, anchor, length), docs[source], at.astype(np.int32))
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of anchors sorted by (h, doc) those whose h is in two documents; only a run's first document waits for the second."""
-    schema = schema_of("doc long, at int")
-    held = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)]
-    known = None  # the last h, if it is in two documents
+    """Marks of anchors sorted by (h, c, doc): twice the place, plus one if a smaller document has the same context.
+
+    Of contexts without that, those are marked whose h has several of them, in several documents. What is held is the first document of
+    one context, or contexts of one document.
+    """
+    schema = schema_of("doc long, mark long")
+    held = [np.zeros(0, dtype=np.int64)] * 4
+    last_h = last_c = last_doc = known = None  # known: the last h, if its contexts are marked
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, doc, at = (np.concatenate([a, np.asarray(b)]) for a, b in zip(held, batch.columns, strict=True))
-        start = starts_of(h)
-        end = np.append(start[1:], len(h))
-        several = doc[start] != doc[end - 1]
-        if known is not None and h[0] == known:
-            several[0] = True
-        keep = np.repeat(several, end - start)
-        known = h[-1] if several[-1] else None
-        tail = start[-1] if known is None else len(h)
-        held = [h[tail:], doc[tail:], at[tail:]]
-        if keep.any():
-            yield record(schema, doc[keep], at[keep])
+        h, c, doc, at = (np.asarray(x).astype(np.int64) for x in batch.columns)
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+        new[0] = last_h is None or h[0] != last_h or c[0] != last_c
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(h)))
+        low = np.concatenate([np.full(len(h) - size.sum(), last_doc if last_doc is not None else 0), np.repeat(doc[start], size)])
+        last_h, last_c, last_doc = h[-1], c[-1], low[-1]
+        later = doc > low
+        marks = [(doc[later], 2 * at[later] + 1)]
+        h, c, doc, at = (np.concatenate([x, y[~later]]) for x, y in zip(held, (h, c, doc, at), strict=True))
+        if len(h):
+            start = starts_of(h)
+            size = np.diff(np.append(start, len(h)))
+            several = (np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start)) & (np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start))
+            several |= h[start] == known if known is not None else False
+            keep = np.repeat(several, size)
+            marks.append((doc[keep], 2 * at[keep]))
+            open_ = h[-1] == last_h
+            known = last_h if open_ and (several[-1] or known == last_h) else known if known == last_h else None
+            tail = start[-1] if open_ and not several[-1] else len(h)
+            held = [x[tail:] for x in (h, c, doc, at)]
+        elif known != last_h:
+            known = None
+        doc, mark = (np.concatenate(x) for x in zip(*marks, strict=True))
+        if len(doc):
+            yield record(schema, doc, mark)
 
 
 CONTEXT = "h long, ctx binary, least int, doc long, at int"
 
 
 def _contexts(length: int):
-    """ctx: a byte with the bytes before the anchor, then the text of the anchor's windows; least: bytes before it in the last window."""
+    """ctx: a byte with the bytes before the anchor, then the text of the anchor's windows; least: bytes before it in the last window.
+
+    Marks that are answered already become rows without ctx, merged to spans from at to least.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = schema_of(CONTEXT)
         for batch in batches:
-            docs, texts, marks = batch.column("doc_id").to_numpy(), as_bytes(batch.column("text")), batch.column("marks")
+            docs, texts, marks = batch.column("doc_id").to_numpy(), unpacked(batch.column("z")), batch.column("marks")
             sizes = np.asarray(pc.list_value_length(marks))
             marked = marks.flatten().to_numpy()
             ends = np.cumsum(sizes)
             for pieces in segments(texts, length):
-                flat, hashes, window, anchor, owner = minimizers(pieces, length)
-                first = starts_of(anchor, owner)
-                last = np.append(first[1:], len(anchor)) - 1
-                lengths = np.array([len(p[2]) for p in pieces])
-                base = np.cumsum(lengths) - lengths
-                place = np.array([p[1] for p in pieces])
-                source = np.array([p[0] for p in pieces])
-                who, a = owner[first], anchor[first]
-                at = a - base[who] + place[who]
-                # Marked anchors as (text, place) numbers, looked up in those of this chunk's texts.
-                own = np.concatenate([(i << 40) + marked[ends[i] - sizes[i] : ends[i]].astype(np.int64) for i in np.unique(source).tolist()])
-                fine = np.isin((source[who].astype(np.int64) << 40) + at, own)
+                flat, hashes, a, low, high, source, at = anchors_of(pieces, length)
+                # Marks as (text, place, answered) numbers, looked up in those of this chunk's texts.
+                own = np.sort(np.concatenate([(i << 40) + marked[ends[i] - sizes[i] : ends[i]] for i in np.unique(source).tolist()]))
+                number = (source.astype(np.int64) << 40) + 2 * at
+                done = np.isin(number + 1, own)
+                if done.any():
+                    wide = int(at.max()) + 4 * length
+                    begin, stop = merged(source[done] * wide + (low - a + at)[done], source[done] * wide + (high - a + at)[done] + length)
+                    who = begin // wide
+                    yield record(schema, mix(docs[who].astype(np.uint64)).view(np.int64), pa.nulls(len(who), pa.binary()), (stop - who * wide).astype(np.int32), docs[who], (begin - who * wide).astype(np.int32))
+                fine = np.isin(number, own)
                 if not fine.any():
                     continue
-                low, high, a, at, who = window[first][fine], window[last][fine], a[fine], at[fine], who[fine]
+                low, high, a, at, source = low[fine], high[fine], a[fine], at[fine], source[fine]
                 n = high + length - low + 1
                 out = np.cumsum(n)
-                data = np.empty(out[-1], dtype=np.uint8)
                 inner = np.arange(out[-1]) - np.repeat(out - n, n)
-                data[:] = flat[np.maximum(np.repeat(low - 1, n) + inner, 0)]
+                data = flat[np.maximum(np.repeat(low - 1, n) + inner, 0)]
                 data[out - n] = a - low
                 ctx = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, out).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-                yield record(schema, key_of(hashes[a]), ctx, (a - high).astype(np.int32), docs[source[who]], at.astype(np.int32))
+                yield record(schema, key_of(hashes[a]), ctx, (a - high).astype(np.int32), docs[source], at.astype(np.int32))
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one: they are shuffled, and a shuffle file compresses worse."""
+    import zstandard
+
+    press, schema = zstandard.ZstdCompressor(level=3), schema_of("doc_id long, z binary")
+    for batch in batches:
+        yield record(schema, batch.column(0), [press.compress(t) for t in as_bytes(batch.column(1))])
+
+
+def unpacked(column: pa.Array) -> list[bytes]:
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    return [press.decompress(z) for z in column.to_pylist()]
+
+
 def multikey_sort(group: np.ndarray, text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order rows by group and their first `depth` bytes, a character of eight bytes at a time; only runs of equals go on to the next.
 
@@ -340,6 +391,13 @@ def _sort_contexts(length: int, most: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
+            answered = batch.column("ctx").is_null()
+            if answered.true_count:
+                spans = batch.filter(answered)
+                yield _spans(schema, np.asarray(spans.column("doc")), np.asarray(spans.column("at")), np.asarray(spans.column("least")))
+                batch = batch.filter(pc.invert(answered))
+                if not batch.num_rows:
+                    continue
             h, ctx, least, doc, at = batch.columns
             h, least, doc, at = (np.asarray(x) for x in (h, least, doc, at))
             new = np.ones(len(h), dtype=bool)
@@ -429,7 +487,7 @@ def _cut(with_text: bool):
         schema = schema_of("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
         for batch in batches:
             out: list[list] = [[] for _ in schema]
-            for doc, text, begin, stop in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for doc, text, begin, stop in zip(batch.column(0).to_pylist(), unpacked(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 kept, spans = text, 0
                 if begin:
                     b, s = merged(np.array([x for part in begin for x in part]), np.array([x for part in stop for x in part]))
@@ -452,11 +510,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         raise ValueError(f"length must be at least {2 * GRAM}")
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    anchors = texts.where("doc_id IS NOT NULL").mapInArrow(_anchors(length), ANCHOR)
-    marks = anchors.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_repeated, "doc long, at int").groupBy("doc").agg(F.collect_list("at").alias("marks"))
-    contexts = texts.join(marks, texts["doc_id"] == marks["doc"]).select("doc_id", "text", "marks").mapInArrow(_contexts(length), CONTEXT)
+    named = texts.where("doc_id IS NOT NULL")
+    # Both joins with the texts need the same exchange of them, so it is made once.
+    packed = named.mapInArrow(_packed, "doc_id long, z binary").where("doc_id IS NOT NULL")
+    anchors = named.mapInArrow(_anchors(length), ANCHOR)
+    marks = anchors.repartition("h").sortWithinPartitions("h", "c", "doc").mapInArrow(_repeated, "doc long, mark long").groupBy("doc").agg(F.collect_list("mark").alias("marks"))
+    contexts = packed.join(marks, packed["doc_id"] == marks["doc"]).select("doc_id", "z", "marks").mapInArrow(_contexts(length), CONTEXT)
     spans = contexts.repartition("h").sortWithinPartitions("h", "ctx", "doc").mapInArrow(_sort_contexts(length, most), SPAN)
     covered = spans.repartition("key").sortWithinPartitions("key", "win", "doc").mapInArrow(_per_document, "doc long, begin array<int>, stop array<int>")
     cuts = covered.groupBy("doc").agg(F.collect_list("begin").alias("begin"), F.collect_list("stop").alias("stop"))
-    joined = texts.join(cuts, texts["doc_id"] == cuts["doc"], "left").select("doc_id", "text", "begin", "stop")
-    return joined.mapInArrow(_cut(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
+    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    cut = packed.join(cuts, packed["doc_id"] == cuts["doc"], "left").select("doc_id", "z", "begin", "stop").mapInArrow(_cut(with_text), result)
+    nothing = F.lit(None).cast("array<array<int>>")
+    unnamed = texts.where("doc_id IS NULL").mapInArrow(_packed, "doc_id long, z binary").select("doc_id", "z", nothing.alias("begin"), nothing.alias("stop"))
+    return cut.unionByName(unnamed.mapInArrow(_cut(with_text), result))
