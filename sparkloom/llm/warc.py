@@ -52,7 +52,7 @@ def gzip_record(headers: list[tuple[str, str]], block: bytes, level: int) -> byt
     return z.compress(head.encode("utf-8") + b"\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
-def page_record(page_id, url, payload: bytes | None, n_bytes: int, sha: str, first_id, first_url, level: int, date: str) -> bytes:
+def page_record(page_id, url, payload: bytes | None, n_bytes: int, sha: str, level: int, date: str, first_id=None, first_url=None) -> bytes:
     """A response with its payload, or a revisit of the first page with the same payload."""
     kind = "response" if first_id is None else "revisit"
     headers = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, kind)), ("WARC-Date", date), ("WARC-Target-URI", clean(url, page_id)),
@@ -100,17 +100,28 @@ class Roll:
         return self.name, self.shard, self.records, self.size, self.hash.hexdigest()
 
 
+def _members(level: int, date: str):
+    """Each page as a response record. Records are compressed before they are shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = schema_of(MEMBER)
+        for batch in batches:
+            members_ = [page_record(page, url, payload, n, digest(payload), level, date) for page, url, payload, n, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield record(schema, batch.column("page_id"), batch.column("url"), members_, batch.column("n"), batch.column("sha"))
+    return run
+
+
+MEMBER = "page_id long, url string, member binary, n long, sha string"
+
+
 def _write(folder: str, roll: int, level: int, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, files, now = schema_of(MANIFEST), [], None
         for batch in batches:
-            for shard, page, url, payload, n, sha, first, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, page, url, member, n, sha, first, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now is None or now.shard != shard:
                     files.append(now.close() if now else None)
                     now = Roll(folder, shard, roll, level, date)
-                body = None if first is not None else payload or b""
-                # The digest of a response is made from what is written; a revisit has no payload and names that of its response.
-                files.append(now.add(page_record(page, url, body, n if body is None else len(body), hex_to_base32(sha) if body is None else digest(body), first, first_url, level, date)))
+                files.append(now.add(member if first is None else page_record(page, url, None, n, hex_to_base32(sha), level, date, first, first_url)))
         files.append(now.close() if now else None)
         rows = [f for f in files if f]
         yield record(schema, *([r[i] for r in rows] for i in range(5)))
@@ -148,8 +159,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, sh
     again = F.col("page_id").isNotNull() & F.col("first").isNotNull() & (F.col("page_id") != F.col("first")) & (F.col("n") >= min_bytes)
     cuts = bounds(thin, sums["rows"], shards) if sums["rows"] else np.zeros(0, dtype=np.int64)
     place = F.pandas_udf(lambda ids: pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="right")), "long")
-    joined = thin.join(first, thin["sha"] == first["_sha"], "left").select(
-        place(F.coalesce("page_id", F.lit(-(1 << 63)))).alias("shard"), "page_id", "url", F.when(again, F.lit(None)).otherwise(F.col("payload")).alias("payload"), "n", "sha",
+    records = thin.mapInArrow(_members(level, date), MEMBER)
+    joined = records.join(first, records["sha"] == first["_sha"], "left").select(
+        place(F.coalesce("page_id", F.lit(-(1 << 63)))).alias("shard"), "page_id", "url", F.when(again, F.lit(None)).otherwise(F.col("member")).alias("member"), "n", "sha",
         F.when(again, F.col("first")).alias("first"), F.when(again, F.col("first_url")).alias("first_url"))
     staging = _made(spark, f"{folder.rstrip('/')}/_staging-{uuid.uuid4().hex}")
     ordered = joined.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "page_id", "sha", "url")
