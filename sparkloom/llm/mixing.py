@@ -12,8 +12,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparkloom.llm.common import stored
+
 SEED = 17
 POWER = 0.7
+#: Sources whose rates are broadcast; more of them are joined.
+MOST_SENT = 100_000
 #: Hash digits taken for u: 52 bits, which a double holds exactly.
 DIGITS = 13
 
@@ -60,8 +64,13 @@ def target_rates(docs: DataFrame, weights: DataFrame | None = None, total: float
 
 
 def replicated(docs: DataFrame, rates: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with __llm_copy, one row for each copy (from 0), in no order. Only ids and sources go through Python, not texts."""
-    rate = rates.select(F.col("source").alias("__llm_source"), F.col("rate").alias("__llm_rate"))
+    """docs with __llm_copy, one row for each copy (from 0), in no order. Only ids and sources go through Python, not texts.
+
+    Up to MOST_SENT sources, the rates are sent to the documents, which then are not shuffled by source.
+    """
+    rate = stored(rates.select(F.col("source").alias("__llm_source"), F.col("rate").alias("__llm_rate")), "source-rates")
+    if rate.count() <= MOST_SENT:
+        rate = F.broadcast(rate)
     joined = docs.join(rate, docs["source"].eqNullSafe(rate["__llm_source"]), "left").drop("__llm_source").withColumn("__llm_u", unit_hash(seed, F.col("doc_id")))
     count = F.pandas_udf(_copies, "long")
     return joined.withColumn("__llm_n", count("__llm_u", "__llm_rate")).where("__llm_n > 0").withColumn("__llm_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__llm_n") - 1))).drop("__llm_u", "__llm_n")
