@@ -245,6 +245,19 @@ def test_words_give_the_ids_of_whole_texts():
     assert [x.tolist() for x in packing.Words(path).encode([t.encode() for t in texts])] == whole
 
 
+def test_different_words(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [b"", b" ", b"one", b"a bb a\x0bccc\x0ca", b"x" * 16 + b" " + b"x" * 17 + b" " + b"x" * 17 + b" " + b"x" * 18, bytes(rng.choice(list(b"ab \n"), 5000).astype(np.uint8)), b"a\x00 a a\x00\x00"]
+    for text in texts:
+        begin, end, names, kind = packing.different_words(text)
+        assert [names[k] for k in kind] == text.split() == [text[b:e] for b, e in zip(begin, end)]
+        assert len(names) == len(set(names))
+    monkeypatch.setattr(packing.xxhash, "xxh64_intdigest", lambda x: 7)
+    long = [b"y" * 20, b"z" * 20, b"y" * 20]
+    _, _, names, kind = packing.different_words(b" ".join(long))
+    assert [names[k] for k in kind] == long and len(names) == 2
+
+
 def test_cuts_fill_their_classes():
     for n in (1, 2, 127, 128, 129, 1000, 2047, 2049, 3000, 4095, 4096, 4097, 100_000):
         found = packing.cuts(n)
