@@ -25,7 +25,7 @@ SEED = 7
 #: Documents per language that the prototypes are learned from, about; chosen by a hash of doc_id.
 SAMPLE = 5000
 #: Code points that are counted at a time, and n-grams that are multiplied at a time.
-VOLUME, GRAMS = 1 << 20, 4096
+VOLUME, GRAMS = 1 << 19, 2048
 #: Unit vectors are rounded to this many steps, so that sums do not depend on their order.
 STEPS = 4096
 #: Documents whose best cosine is not above this are rejected by the filter; very short clean texts score low, so it is low.
