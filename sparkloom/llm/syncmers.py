@@ -30,7 +30,7 @@ LEVELS = ((64, 16, 5), (16, 4, 2), (0, 2, 1))
 SLACK, LEAST_SLACK = 0.05, 32
 ALIKE = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 #: Bytes of text that one task walks through in order, about.
-PART_BYTES = 64 << 20
+PART_BYTES = 32 << 20
 #: Code points that are hashed at a time.
 VOLUME = 1 << 20
 
