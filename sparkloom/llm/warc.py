@@ -115,13 +115,17 @@ MEMBER = "page_id long, url string, member binary, n long, sha string"
 
 def _write(folder: str, roll: int, level: int, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, files, now = schema_of(MANIFEST), [], None
+        schema, files, now, known = schema_of(MANIFEST), [], None, None
         for batch in batches:
             for shard, page, url, member, n, sha, first, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if member is None:  # the response that the next pages of this id and digest refer to
+                    known = (page, sha, first, first_url)
+                    continue
+                again = known is not None and known[:2] == (page, sha)
                 if now is None or now.shard != shard:
                     files.append(now.close() if now else None)
                     now = Roll(folder, shard, roll, level, date)
-                files.append(now.add(member if first is None else page_record(page, url, None, n, hex_to_base32(sha), level, date, first, first_url)))
+                files.append(now.add(page_record(page, url, None, n, hex_to_base32(sha), level, date, *known[2:]) if again else member))
         files.append(now.close() if now else None)
         rows = [f for f in files if f]
         yield record(schema, *([r[i] for r in rows] for i in range(5)))
@@ -146,8 +150,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, sh
     """Write pages (page_id, url, html) as `folder`/archives and return the manifest, one row per file.
 
     A null html is an empty payload; a null url becomes urn:page:ID. Of equal payloads of at least min_bytes the smallest
-    page_id is the response, and so is each row that repeats this id; rows without page_id are responses. Revisits carry no payload, so a hot payload is written and sorted
-    once. An empty table gives an empty folder and manifest.
+    page_id is the response, and so is each row that repeats this id; rows without page_id are responses. Revisits are written without payload. An empty table gives an empty folder and manifest.
     """
     spark = pages.sparkSession
     small_batches(spark)
@@ -159,12 +162,14 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, sh
     again = F.col("page_id").isNotNull() & F.col("first").isNotNull() & (F.col("page_id") != F.col("first")) & (F.col("n") >= min_bytes)
     cuts = bounds(thin, sums["rows"], shards) if sums["rows"] else np.zeros(0, dtype=np.int64)
     place = F.pandas_udf(lambda ids: pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="right")), "long")
-    records = thin.mapInArrow(_members(level, date), MEMBER)
-    joined = records.join(first, records["sha"] == first["_sha"], "left").select(
-        place(F.coalesce("page_id", F.lit(-(1 << 63)))).alias("shard"), "page_id", "url", F.when(again, F.lit(None)).otherwise(F.col("member")).alias("member"), "n", "sha",
-        F.when(again, F.col("first")).alias("first"), F.when(again, F.col("first_url")).alias("first_url"))
+    # Which pages are revisits is worked out without their payloads and meets the records in their shard, so these are shuffled once.
+    shard = place(F.coalesce("page_id", F.lit(-(1 << 63)))).alias("shard")
+    revisits = thin.select("page_id", "n", "sha").join(first, thin["sha"] == first["_sha"]).where(again).select("page_id", "sha", "first", "first_url").distinct()
+    records = thin.mapInArrow(_members(level, date), MEMBER).select(shard, "page_id", "url", "member", "n", "sha", F.lit(None).cast("long").alias("first"), F.lit(None).cast("string").alias("first_url"))
+    hints = revisits.select(shard, "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("member"), F.lit(0).cast("long").alias("n"), "sha", "first", "first_url")
+    both = records.unionByName(hints)
     staging = _made(spark, f"{folder.rstrip('/')}/_staging-{uuid.uuid4().hex}")
-    ordered = joined.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "page_id", "sha", "url")
+    ordered = both.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "page_id", "sha", F.col("member").isNotNull(), "url")
     files = ordered.mapInArrow(_write(staging, roll_bytes, level, date), MANIFEST)
     files.write.parquet(f"{staging}/_manifest")
     _rename(spark, staging, f"{folder.rstrip('/')}/archives")
