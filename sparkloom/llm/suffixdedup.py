@@ -105,7 +105,7 @@ def context_hashes(hashes: np.ndarray, low: np.ndarray, stop: np.ndarray, anchor
     return key_of(out)
 
 
-ANCHOR = "h long, c long, doc long, at int"
+ANCHOR = "k1 long, k2 long, doc long"
 
 
 def anchors_of(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
@@ -119,15 +119,26 @@ def anchors_of(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.nd
     return flat, hashes, anchor, window[first], window[last], np.array([p[0] for p in pieces])[who], anchor + shift[who]
 
 
+def joined_keys(h: np.ndarray, c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """48 bits of h, 48 of c and 32 of the place in two longs, in this order: a shuffled row has no idle bytes and sorts by h, then c."""
+    h, c, at = (x.astype(np.int64).view(np.uint64) for x in (h, c, at))
+    return ((h << np.uint64(16)) | (c >> np.uint64(32))).view(np.int64), ((c << np.uint64(32)) | at).view(np.int64)
+
+
+def split_keys(k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k1, k2 = k1.view(np.uint64), k2.view(np.uint64)
+    return (k1 >> np.uint64(16)).view(np.int64), (((k1 & np.uint64(0xFFFF)) << np.uint64(32)) | (k2 >> np.uint64(32))).view(np.int64), (k2 & np.uint64(0xFFFFFFFF)).view(np.int64)
+
+
 def _anchors(length: int):
-    """c: a hash of the text of all windows that the anchor is the minimizer of."""
+    """h: the gram's hash; c: a hash of the text of all windows that the anchor is the minimizer of."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = schema_of(ANCHOR)
         for batch in batches:
             docs, texts = np.asarray(batch.column(0)), as_bytes(batch.column(1))
             for pieces in segments(texts, length):
                 _, hashes, anchor, low, high, source, at = anchors_of(pieces, length)
-                yield record(schema, key_of(hashes[anchor]), context_hashes(hashes, low, high + length, anchor, length), docs[source], at.astype(np.int32))
+                yield record(schema, *joined_keys(key_of(hashes[anchor]), context_hashes(hashes, low, high + length, anchor, length), at), docs[source])
     return run
 
 
@@ -143,7 +154,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, c, doc, at = (np.asarray(x).astype(np.int64) for x in batch.columns)
+        k1, k2, doc = (np.asarray(x) for x in batch.columns)
+        h, c, at = split_keys(k1, k2)
         new = np.ones(len(h), dtype=bool)
         new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
         new[0] = last_h is None or h[0] != last_h or c[0] != last_c
@@ -514,7 +526,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     # Both joins with the texts need the same exchange of them, so it is made once.
     packed = named.mapInArrow(_packed, "doc_id long, z binary").where("doc_id IS NOT NULL")
     anchors = named.mapInArrow(_anchors(length), ANCHOR)
-    marks = anchors.repartition("h").sortWithinPartitions("h", "c", "doc").mapInArrow(_repeated, "doc long, mark long").groupBy("doc").agg(F.collect_list("mark").alias("marks"))
+    marks = anchors.repartition(F.shiftrightunsigned("k1", 16)).sortWithinPartitions("k1", F.shiftrightunsigned("k2", 32), "doc").mapInArrow(_repeated, "doc long, mark long").groupBy("doc").agg(F.collect_list("mark").alias("marks"))
     contexts = packed.join(marks, packed["doc_id"] == marks["doc"]).select("doc_id", "z", "marks").mapInArrow(_contexts(length), CONTEXT)
     spans = contexts.repartition("h").sortWithinPartitions("h", "ctx", "doc").mapInArrow(_sort_contexts(length, most), SPAN)
     covered = spans.repartition("key").sortWithinPartitions("key", "win", "doc").mapInArrow(_per_document, "doc long, begin array<int>, stop array<int>")
