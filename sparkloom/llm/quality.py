@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) ->
         schema = schema_of("doc_id long, label double, count long, x binary")
         for batch in batches:
             texts = as_bytes(batch.column("text"))
-            for s, e in volumes(texts, 1 << 20):
+            for s, e in volumes(texts, 1 << 18):
                 x, count = features(texts[s:e])
                 ends = np.cumsum(count)
                 parts = [x[q - c : q].astype(np.float32).tobytes() for q, c in zip(ends, count, strict=True)]
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = THR
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, scores = as_bytes(batch.column("__llm_text")), []
-            for s, e in volumes(texts, 1 << 20):
+            for s, e in volumes(texts, 1 << 18):
                 scores.append(model.score(*features(texts[s:e])))
             p = np.round(np.concatenate(scores), 9) if scores else np.zeros(0)
             own = [i for i, f in enumerate(batch.schema) if f.name != "__llm_text"]
