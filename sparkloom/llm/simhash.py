@@ -158,12 +158,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents of the smallest doc_id of each component, all columns kept.
+    """The documents of the smallest doc_id of each component, all columns kept."""
+    return keep_lowest(docs, near_duplicates(docs, words, max_bits))
+
+
+def keep_lowest(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents whose doc_id is the component_id that found (doc_id, component_id) gives them, all columns kept.
 
     Rows that share a doc_id are one document: one row of them stays, that with the smallest text hash. Rows without doc_id
     cannot be told apart and stay.
     """
-    found = near_duplicates(docs, words, max_bits)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     order = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64("text"))
     left = docs.join(gone, "doc_id", "left_anti")
