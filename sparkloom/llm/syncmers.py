@@ -3,9 +3,11 @@
 A k-mer of code points is a closed syncmer if its least inner s-mer (by hash) is its first or its last one. That depends on the
 k-mer alone, so an edit moves no anchor but those it touches. The n-th time a syncmer stands in a document is an anchor of its
 own, so repetitive texts have anchors all along. The fingerprint keeps the `size` anchors with the least hashes and their places:
-8 hex digits of hash, 8 of place. Short texts take shorter k-mers (LEVELS), so that they have several anchors.
+8 hex digits of hash, 8 of place. Short texts take shorter k-mers (LEVELS), so that they have several anchors. A text of up to
+REACH times a limit has the anchors of the level below it too, `size` of each, their places marked by level (MARKS). So
+two texts on the two sides of a limit meet, unless one is over REACH times as long as the other.
 
-Two fingerprints are compared by position: of the least `size` hashes of either, those in both whose places are shifted
+Two fingerprints are compared at the longest k-mers that both have, by position: of the least `size` hashes of either, those in both whose places are shifted
 by as much as the middle one of them (within a tolerance) match. With the matching share j, the likeness 2 j / (1 + j)
 is the share of either text's anchors that the other has, about the share of text that is kept.
 """
@@ -26,6 +28,9 @@ from sparkloom.llm.common import record, schema_of, small_batches
 SIZE = 128
 #: (code points from which on it is used, k, s)
 LEVELS = ((64, 16, 5), (16, 4, 2), (0, 2, 1))
+#: What is added to the places of a level; places of long texts stay under 2^31, marked ones are those of texts under 256.
+MARKS = (0, 0xE0000000, 0xF0000000)
+REACH = 4
 #: Places may differ from the common shift by this share of the longer span, or this many code points.
 SLACK, LEAST_SLACK = 0.05, 32
 ALIKE = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -50,9 +55,15 @@ def windows(points: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def syncmers(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def levels_of(n: int) -> list[int]:
+    """The levels that a text of n code points has anchors of: its own one, and the next if n is less than REACH times the limit."""
+    own = next(i for i, (least, _, _) in enumerate(LEVELS) if n >= least)
+    return [own, own + 1] if n < REACH * LEVELS[own][0] else [own]
+
+
+def syncmers(points: np.ndarray, level: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(places, 64-bit hashes) of the closed syncmers of code points; a text under k code points is one anchor as a whole."""
-    k, s = next((k, s) for least, k, s in LEVELS if len(points) >= least)
+    k, s = LEVELS[levels_of(len(points))[0] if level is None else level][1:]
     if not len(points):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     if len(points) < k:
@@ -74,8 +85,14 @@ def syncmers(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(points: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """(32-bit hashes, places) of the least anchors, in order; of two anchors with one hash the first place."""
-    at, value = syncmers(points)
+    """(32-bit hashes, marked places) of the least anchors of each level, in order."""
+    parts = [(level, *level_sketch(points, level, size)) for level in levels_of(len(points))]
+    return np.concatenate([value for _, value, _ in parts]), np.concatenate([at + MARKS[level] for level, _, at in parts])
+
+
+def level_sketch(points: np.ndarray, level: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(32-bit hashes, places) of the least anchors of a level, in order; of two anchors with one hash the first place."""
+    at, value = syncmers(points, level)
     order = np.lexsort((at, value))
     at, value = at[order], value[order]
     first = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, dtype=np.int64)
@@ -103,6 +120,11 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     """0 to 1; two empty fingerprints are alike, an empty one is like no other."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
+    levels = [np.searchsorted(MARKS, x[1], side="right") - 1 for x in (a, b)]
+    shared = np.intersect1d(*levels)
+    if not len(shared):
+        return 0.0
+    a, b = ((x[0][of == shared[0]], x[1][of == shared[0]]) for x, of in zip((a, b), levels, strict=True))
     least = np.union1d(a[0], b[0])[:size]
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     i, j = i[both <= least[-1]], j[both <= least[-1]]
