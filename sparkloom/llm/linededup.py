@@ -1,7 +1,7 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 `SortedRuns` keeps, in the shared folder, runs of (key, n_docs, last_doc) sorted by key. A batch of documents is reduced to
-its keys, merge-anti-joined with the runs (which tells the keys that are new) and added as a run of level 0; `fanout`
+its keys, counted by key and added whole as a run of level 0 (without the anti-join with the runs, which `unseen` has); `fanout`
 runs of a level are merged into one run of the next, so a key is rewritten a logarithmic number of times.
 A line's key is the line stripped of ASCII white space with A-Z lower-cased; its hash is the MD5 of the UTF-8 bytes.
 """
@@ -69,9 +69,9 @@ class SortedRuns:
         return reduce(lambda left, run: left.join(run.select("key"), "key", "left_anti"), self.runs(), batch)
 
     def add(self, batch: DataFrame) -> None:
-        """Add a batch of distinct (key, doc_id): keys that are new and news of known keys, as one run.
+        """Add a batch of distinct (key, doc_id) as one run: its own counts of each key, new or known.
 
-        A run never repeats what older runs know: its rows are the batch's own counts.
+        It is not joined with older runs; totals sums the counts.
         """
         own = batch.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
         if not self.levels:
