@@ -220,3 +220,67 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     vec = F.col("vec_id")
     label = F.when(vec % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(table(spark, folder, "embeddings"), vec % 100 == 0, label)
+
+
+OP11_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT list(list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t
+  FROM range(0, 256) r(i)
+), hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+                         lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), 4294967295) % 20 AS r
+  FROM conversations, bits
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN r = 4 THEN 'user' ELSE role END AS role, CASE r WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+  FROM hashed, LATERAL (SELECT unnest(range(0, CASE r WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy) c
+), told AS (
+  SELECT *, row_number() OVER w AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+         lag(left(role, 1)) OVER w || left(role, 1) AS pair, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)
+), marked AS (
+  SELECT *, core = '' AS blank, core <> '' AND again AS dup, core <> '' AND NOT again AND right(core, 1) NOT IN ('.', '!', '?') AS cut FROM told
+), sums AS (
+  SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+         count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS n, {'c': 0::BIGINT, 'a': '', 't': NULL::VARCHAR} AS e, {'c': 9999999::BIGINT, 'a': '', 't': NULL::VARCHAR} AS s,
+         {'c': 3::BIGINT, 'a': 'I', 't': 'user:'} AS u, {'c': 6::BIGINT, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'} AS a
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, n, e, s, u2, CASE WHEN a1 < {'c': u2.c + 3, 'a': u2.a || 'I', 't': concat_ws(chr(10), u2.t, 'assistant:')} THEN a1
+                                    ELSE {'c': u2.c + 3, 'a': u2.a || 'I', 't': concat_ws(chr(10), u2.t, 'assistant:')} END
+  FROM (
+    SELECT conv_id, n, e, s, a1, list_min([u1, {'c': e.c + 3, 'a': e.a || 'I', 't': concat_ws(chr(10), e.t, 'user:')}, {'c': s.c + 3, 'a': s.a || 'I', 't': concat_ws(chr(10), s.t, 'user:')},
+                                    {'c': a1.c + 3, 'a': a1.a || 'I', 't': concat_ws(chr(10), a1.t, 'user:')}]) AS u2
+    FROM (
+      SELECT w.conv_id, m.n, {'c': w.e.c + 4, 'a': w.e.a || 'D', 't': w.e.t} AS e,
+        list_min([{'c': w.s.c + 4, 'a': w.s.a || 'D', 't': w.s.t}, {'c': w.e.c + k + CASE WHEN i = 's' THEN 0 ELSE 9999999 END, 'a': w.e.a || 'K', 't': concat_ws(chr(10), w.e.t, own)}]) AS s,
+        list_min([{'c': w.u.c + 4, 'a': w.u.a || 'D', 't': w.u.t},
+          {'c': w.e.c + ku, 'a': w.e.a || 'K', 't': concat_ws(chr(10), w.e.t, own)}, {'c': w.e.c + 3 + k, 'a': w.e.a || 'R', 't': concat_ws(chr(10), w.e.t, 'user:' || text)},
+          {'c': w.s.c + ku, 'a': w.s.a || 'K', 't': concat_ws(chr(10), w.s.t, own)}, {'c': w.s.c + 3 + k, 'a': w.s.a || 'R', 't': concat_ws(chr(10), w.s.t, 'user:' || text)},
+          {'c': w.a.c + ku, 'a': w.a.a || 'K', 't': concat_ws(chr(10), w.a.t, own)}, {'c': w.a.c + 3 + k, 'a': w.a.a || 'R', 't': concat_ws(chr(10), w.a.t, 'user:' || text)}]) AS u1,
+        list_min([{'c': w.a.c + 4, 'a': w.a.a || 'D', 't': w.a.t}, {'c': w.u.c + k + CASE WHEN i = 'a' THEN 0 ELSE 9999999 END, 'a': w.u.a || 'K', 't': concat_ws(chr(10), w.u.t, own)},
+          {'c': w.u.c + 3 + k, 'a': w.u.a || 'R', 't': concat_ws(chr(10), w.u.t, 'assistant:' || text)}]) AS a1
+      FROM walk w JOIN (
+        SELECT *, left(role, 1) AS i, role || ':' || text AS own, CASE WHEN blank OR dup THEN 9999999 WHEN cut THEN 3 ELSE 0 END AS k,
+               CASE WHEN blank OR dup OR left(role, 1) <> 'u' THEN 9999999 WHEN cut THEN 3 ELSE 0 END AS ku
+        FROM marked
+      ) m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.n = w.n + 1
+    )
+  )
+), ended AS (
+  SELECT w.conv_id, coalesce(t.gaps, 0) AS gaps, coalesce(t.blank, 0) AS blank, coalesce(t.duplicate, 0) AS duplicate, coalesce(t.truncated, 0) AS truncated,
+         coalesce(t.illegal, 0) AS illegal, list_min([w.e, w.a]) AS best
+  FROM walk w LEFT JOIN sums t ON t.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.n = coalesce(t.rows, 0)
+)
+SELECT conv_id, gaps, blank, duplicate, truncated, illegal, best.c AS cost, best.a AS audit, sha256(coalesce(best.t, '')) AS repaired_sha256 FROM ended
+"""
+
+
+@query("op11_conversation_repair", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from sparkloom.llm import dialogue
+
+    return dialogue.repair(dialogue.damaged(table(spark, folder, "conversations")))
