@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import langid, linededup, minhash, mixing, packing
+from sparkloom.llm import langid, linededup, mixing, packing, simhash
 from sparkloom.llm.common import stored
 
 
@@ -20,8 +20,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group that pairs of five-word Jaccard similarity 0.8 or more link."""
-    return minhash.drop_near_duplicates(docs)
+    """One document stays of each group that pairs of fingerprints within the operator's bit distance link."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
