@@ -1,14 +1,16 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-`SortedRuns` keeps, in the shared folder, runs of (key, n_docs, last_doc) sorted by key. A batch of documents is reduced to
-its keys, counted by key and added whole as a run of level 0 (without the anti-join with the runs, which `unseen` has); `fanout`
-runs of a level are merged into one run of the next, so a key is rewritten a logarithmic number of times.
+`SortedRuns` keeps runs of (key, n_docs, last_doc), bucketed and sorted by key, in the shared folder; a key is in one run. A batch of
+documents is counted by key and merge-anti-joined with the runs: keys in none of them become a new run of level 0, the counts of known ones
+are kept beside as updates, so no old key is written again. The runs lie in the buckets that the batch is dealt to, so only the batch is shuffled.
+`fanout` runs of a level are compacted into one of the next, updates likewise; a key is rewritten a logarithmic number of times.
 A line's key is the line stripped of ASCII white space with A-Z lower-cased; its hash is the MD5 of the UTF-8 bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -20,8 +22,9 @@ from sparkloom.session import new_scratch_path
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-BATCHES = 4
-FANOUT = 2
+#: Keys of a batch, and batches at most: batches grow in number and then in size with the input.
+BATCH_KEYS, BATCHES = 1_000_000, 64
+FANOUT = 4
 RUN = "key binary, n_docs long, last_doc long"
 
 
@@ -39,52 +42,71 @@ def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
 
 
 class SortedRuns:
-    """Levelled sorted runs of line keys in a folder of the shared scratch space."""
+    """Levelled sorted runs of line keys in a folder of the shared scratch space; use as a context, which forgets the tables at its end."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         if fanout < 2:
             raise ValueError("fanout must be at least 2")
-        self.spark, self.fanout, self.levels, self.path, self.written = spark, fanout, [], new_scratch_path(spark, "line-runs"), 0
-
-    def _write(self, rows: DataFrame) -> DataFrame:
-        path = f"{self.path}/run-{self.written:05d}"
-        self.written += 1
-        rows.select("key", "n_docs", "last_doc").repartition("key").sortWithinPartitions("key").write.parquet(path)
-        return self.spark.read.schema(RUN).parquet(path)
-
-    def runs(self) -> list[DataFrame]:
+        self.spark, self.fanout, self.path, self.tables = spark, fanout, new_scratch_path(spark, "line-runs"), []
+        self.levels: list[list[str]] = []
+        self.updates: list[list[str]] = []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def __enter__(self) -> SortedRuns:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def _write(self, rows: DataFrame) -> str:
+        """A run: one sorted file per bucket of the key."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        dealt = rows.select("key", "n_docs", "last_doc").repartition(self.buckets, "key")
+        dealt.write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.path}/{name}").saveAsTable(name)
+        self.tables.append(name)
+        return name
+
+    def _rows(self, names: list[str]) -> DataFrame:
+        """The rows of runs as plain files: a union of bucketed scans is not grouped rightly by this version of Spark."""
+        return self.spark.read.schema(RUN).parquet(*(f"{self.path}/{n}" for n in names)) if names else self.spark.createDataFrame([], RUN)
+
+    def _summed(self, names: list[str]) -> DataFrame:
+        return self._rows(names).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+
+    def _push(self, levels: list[list[str]], run: str, merge) -> None:
+        if not levels:
+            levels.append([])
+        levels[0].append(run)
+        for level in range(len(levels)):
+            if len(levels[level]) < self.fanout:
+                break
+            if level + 1 == len(levels):
+                levels.append([])
+            levels[level + 1].append(self._write(merge(levels[level])))
+            levels[level] = []
+
+    def runs(self) -> list[str]:
         return [run for level in self.levels for run in level]
 
     def totals(self) -> DataFrame:
-        """(key, n_docs, last_doc) over all batches so far; each key of a run is one row, so merging is a small sum."""
-        found = self.runs()
-        if not found:
-            return self.spark.createDataFrame([], RUN)
-        if len(found) == 1:
-            return found[0]
-        return reduce(DataFrame.unionByName, found).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-
-    def unseen(self, batch: DataFrame) -> DataFrame:
-        """Rows of a batch whose key is in no run."""
-        return reduce(lambda left, run: left.join(run.select("key"), "key", "left_anti"), self.runs(), batch)
+        """(key, n_docs, last_doc) over all batches so far."""
+        return self._summed(self.runs() + [run for level in self.updates for run in level])
+
+    def unseen(self, batch: DataFrame, runs: list[str] | None = None) -> DataFrame:
+        """Rows of a batch whose key is in no run: a merge-anti-join with each."""
+        return reduce(lambda left, run: left.join(self.spark.table(run).select("key").hint("merge"), "key", "left_anti"), self.runs() if runs is None else runs, batch)
 
     def add(self, batch: DataFrame) -> None:
-        """Add a batch of distinct (key, doc_id) as one run: its own counts of each key, new or known.
-
-        It is not joined with older runs; totals sums the counts.
-        """
-        own = batch.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        if not self.levels:
-            self.levels.append([])
-        self.levels[0].append(self._write(own))
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
-            merged = reduce(DataFrame.unionByName, self.levels[level]).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-            if level + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[level + 1].append(self._write(merged))
-            self.levels[level] = []
-            level += 1
+        """Add a batch of distinct (key, doc_id): new keys as a run of their own, counts of known ones as updates."""
+        own = self._write(batch.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
+        if self.runs():
+            counted = self.spark.table(own)
+            new = self._write(self.unseen(counted))
+            self._push(self.updates, self._write(self.unseen(counted, [new])), self._summed)
+        else:
+            new = own
+        self._push(self.levels, new, self._rows)  # a key is in one run, so compacting needs no grouping
 
 
 def _keys(min_chars: int):
@@ -118,29 +140,31 @@ def _kept(min_chars: int):
     return run
 
 
-def repeated_keys(keys: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(key, last_doc) of keys in at least min_docs documents, by adding batch after batch to the runs.
+def repeated_keys(keys: DataFrame, batches: int | None = None, fanout: int = FANOUT, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(key, last_doc), stored, of keys in at least min_docs documents, by adding batch after batch to the runs.
 
-    keys has (key, doc_id), each pair once, and is stored. Batches are cut by a hash of the document, so that none depends on
-    the order of the input; a hot line is one row per task and batch before it is shuffled.
+    keys has (key, doc_id), each pair once, and is stored; there is a batch per BATCH_KEYS of them, BATCHES at most, where batches is not given. Batches are
+    cut by a hash of the document, so that none depends on the order of the input; a hot line is one row per task and batch before it is shuffled.
     """
-    runs = SortedRuns(keys.sparkSession, fanout)
-    for i in range(batches):
-        runs.add(keys.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
-    return runs.totals().where(F.col("n_docs") >= min_docs).select("key", "last_doc")
+    if batches is None:
+        batches = max(1, min(BATCHES, -(-keys.count() // BATCH_KEYS)))
+    with SortedRuns(keys.sparkSession, fanout) as runs:
+        for i in range(batches):
+            runs.add(keys.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
+        return stored(runs.totals().where(F.col("n_docs") >= min_docs).select("key", "last_doc"), "line-repeated")
 
 
-def _drops(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
+def _drops(docs: DataFrame, min_chars: int, min_docs: int, batches: int | None, fanout: int) -> DataFrame:
     """(doc_id, drop): keys that each document loses."""
     small_batches(docs.sparkSession)
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     keys = stored(thin.mapInArrow(_keys(min_chars), "doc_id long, key binary"), "line-keys")
     once = keys.distinct() if docs.groupBy("doc_id").count().where("count > 1").limit(1).count() else keys
-    found = stored(repeated_keys(once, batches, fanout, min_docs), "line-repeated")
+    found = repeated_keys(once, batches, fanout, min_docs)
     return once.join(found, "key").where("doc_id <> last_doc").groupBy("doc_id").agg(F.collect_list("key").alias("drop"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped, kept) per row: lines with a key of at least min_chars code points found in at least
     min_docs documents stay in the largest doc_id that holds them and go elsewhere.
 
@@ -154,7 +178,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     return out.select(F.col("row").alias("doc_id"), "text", "n_lines", "n_dropped", "kept")
 
 
-def clean_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def clean_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """docs with the repeated lines taken out of text and n_chars, where there is one, counted anew; a null text stays null."""
     drops = _drops(docs, min_chars, min_docs, batches, fanout)
     joined = docs.join(drops.withColumnRenamed("drop", "__llm_drop"), "doc_id", "left")

@@ -113,7 +113,7 @@ def test_queries_and_pipeline(spark):
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    for key in ("op3_embedding_dedup", "op4_warc", "op9_line_dedup", "op10_mixing"):
+    for key in ("op3_embedding_dedup", "op4_warc", "op9_line_dedup", "op10_mixing", "op11_conversation_repair", "op13_hard_negatives"):
         df = entry.queries()[key](spark, DATA)
         rel = con.execute(entry.oracle_sql()[key])
         want, names = rows_of([d[0] for d in rel.description], rel.fetchall())
@@ -131,4 +131,28 @@ def test_queries_and_pipeline(spark):
             assert 0.7 * before < docs.count() < before
     assert docs.agg(F.sum("length").alias("n")).first()["n"] > 10_000
     held = {x for x in entry.queries() if x.startswith("op") and x[2].isdigit()}
-    assert len(held) == 10 and "pipeline" in entry.queries()
+    assert len(held) == 13 and "pipeline" in entry.queries()
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, edge, none):
+    """Every stage on what the stage before kept; SimHash against the fingerprints of all pairs."""
+    import corpus_pipeline
+    from sparkloom.llm import simhash
+
+    for docs in (edge, none):
+        kept = {}
+        for name, stage in corpus_pipeline.STAGES:
+            if name == "simhash":
+                prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in simhash.near_duplicates(docs).collect()}
+            docs = common.stored(stage(spark, docs, ""), "pipeline-edge")
+            kept[name] = [r["doc_id"] for r in docs.select("doc_id").collect()]
+        if not kept["line_dedup"]:
+            assert kept["packing"] == []
+            continue
+        assert 6 not in kept["language_id"] and None in kept["language_id"]  # no letter
+        left = set(kept["simhash"])
+        for d, p in prints.items():
+            near = [e for e, q in prints.items() if None not in (d, e) and (p ^ q).bit_count() <= 3]
+            assert d is None or d in left or any(e < d for e in near)
+            assert d not in left or all(e >= d for e in near if e in left)
+        assert set(kept["packing"]) <= set(kept["mixing"]) and kept["packing"]

@@ -99,15 +99,34 @@ def test_line_dedup(spark, edge, none):
 
 
 def test_sorted_runs_know_what_is_new(spark):
-    runs = linededup.SortedRuns(spark, fanout=2)
     batch = lambda pairs: spark.createDataFrame([(k.encode(), d) for k, d in pairs], "key binary, doc_id long")
-    runs.add(batch([("a", 1), ("b", 1), ("a", 2)]))
-    second = batch([("a", 3), ("c", 3)])
-    assert [bytes(r["key"]) for r in runs.unseen(second).collect()] == [b"c"]
-    runs.add(second)
-    runs.add(batch([("c", 9)]))
-    assert len(runs.runs()) == 2 and [len(x) for x in runs.levels] == [1, 1]
-    assert {(bytes(r["key"]), r["n_docs"], r["last_doc"]) for r in runs.totals().collect()} == {(b"a", 3, 3), (b"b", 1, 1), (b"c", 2, 9)}
+    of = lambda names: sorted(bytes(r["key"]).decode() for t in names for r in spark.table(t).collect())
+    files = lambda name: spark.table(name).inputFiles()
+    with linededup.SortedRuns(spark, fanout=2) as runs:
+        runs.add(batch([("a", 1), ("b", 1), ("a", 2)]))
+        first = files(runs.runs()[0])
+        second = batch([("a", 3), ("c", 3)])
+        assert [bytes(r["key"]) for r in runs.unseen(second).collect()] == [b"c"]
+        plan = runs.unseen(second)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+        runs.add(second)  # two runs of level 0 are compacted into one
+        assert of(runs.runs()) == ["a", "b", "c"] and [len(x) for x in runs.levels] == [0, 1]
+        held = files(runs.runs()[0])
+        runs.add(batch([("c", 9), ("d", 9), ("a", 9)]))
+        assert files(runs.runs()[1]) == held and of(runs.runs()[:1]) == ["d"]  # the batch has rewritten no old key
+        assert of([t for level in runs.updates for t in level]) == ["a", "c"]
+        assert first != held and {(bytes(r["key"]), r["n_docs"], r["last_doc"]) for r in runs.totals().collect()} == {(b"a", 4, 9), (b"b", 1, 1), (b"c", 2, 9), (b"d", 1, 9)}
+        names = list(runs.tables)
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_batches_follow_the_input(spark, monkeypatch):
+    keys = spark.range(1000).select(F.col("id").cast("string").cast("binary").alias("key"), F.explode(F.sequence(F.lit(0), F.col("id") % 4)).alias("doc_id"))
+    held = []
+    monkeypatch.setattr(linededup, "BATCH_KEYS", 700)
+    monkeypatch.setattr(linededup.SortedRuns, "add", lambda self, batch, add=linededup.SortedRuns.add: (held.append(batch), add(self, batch)))
+    found = {(bytes(r["key"]), r["last_doc"]) for r in linededup.repeated_keys(keys).collect()}
+    assert len(held) == 4 and found == {(str(i).encode(), i % 4) for i in range(1000) if i % 4 >= 2}
 
 
 def brute_removed(docs, length=50):
