@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from sparkloom.functions.exprs import rnd
-from sparkloom.operators import features, models as m
+from sparkloom.operators import features, forecast, kernels, models as m, regression as reg, tuning
 from sparkloom.operators.metrics import auc, regression
 from sparkloom.operators.retrieval import tokens
 from sparkloom.plans.catalog import query
+from sparkloom.plans.views import H
 
 FEATS = ["c_acctbal", "o_totalprice", "c_nationkey"]
 
@@ -80,6 +81,20 @@ def mod_09(t):
     return binary(t, "svm", max_iter=20)
 
 
+@query("mod_09_kernel")
+def mod_09_kernel(t):
+    """A ring that no straight margin separates: area under the curve of the linear machine on the features and on random Fourier features."""
+    names = ["c_acctbal", "c_nationkey"]
+    far = F.pow((F.col("c_acctbal") - 4500) / 3175, 2) + F.pow((F.col("c_nationkey") - 12) / 7.2, 2)
+    d = m.prepare(t.customer.withColumn("ring", (far < 1.3).cast("int")), "c_custkey", names, "ring")
+    tr, te = m.split(d)
+    scales = kernels.standard_scales(tr, names)
+    ev = m.EVALUATORS["binary"][1]()
+    wide = lambda rows: kernels.radial_features(rows.drop("features"), names, scales, gamma=1.0)
+    plain, ring = m.train(tr, "svm", "binary").transform(te), m.train(wide(tr), "svm", "binary").transform(wide(te))
+    return t.spark.createDataFrame([("linear", round(float(ev.evaluate(plain)), 4)), ("fourier", round(float(ev.evaluate(ring)), 4))], "model string, roc_auc double")
+
+
 @query("mod_10")
 def mod_10(t):
     return m.choose_k(t.customer.select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("c_nationkey")), ["c_acctbal", "c_nationkey"])[1]
@@ -120,6 +135,16 @@ def mod_15(t):
     return m.lag_forecast(t.demand, "brand", "day", "qty", [1, 7])
 
 
+@query("mod_15_recursive")
+def mod_15_recursive(t):
+    """Forecasts of the last week of each series, every step on the predictions before it, beside what came."""
+    import datetime
+
+    last = t.demand.agg(F.max("day")).first()[0]
+    out = forecast.recursive_forecast(t.demand, "brand", "day", "qty", 7, last - datetime.timedelta(days=7))
+    return out.join(t.demand, ["brand", "day"]).select("brand", "horizon", "day", F.round("forecast", 4).alias("forecast"), F.col("qty").alias("actual"))
+
+
 @query("mod_16", """WITH RECURSIVE d AS (SELECT brand, qty::DOUBLE AS x, row_number() OVER (PARTITION BY brand ORDER BY day) AS i FROM demand),
   f AS (SELECT brand, i, CASE WHEN x > 0 THEN x END AS z, CASE WHEN x > 0 THEN 1.0::DOUBLE END AS p, CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 2.0 END AS q, CASE WHEN x > 0 THEN 0.1::DOUBLE ELSE 0.0 END AS b FROM d WHERE i = 1
     UNION ALL SELECT f.brand, d.i, CASE WHEN x > 0 THEN CASE WHEN z IS NULL THEN x ELSE z + 0.1 * (x - z) END ELSE z END, CASE WHEN x > 0 THEN CASE WHEN z IS NULL THEN q ELSE p + 0.1 * (q - p) END ELSE p END,
@@ -170,6 +195,28 @@ def mod_23(t):
     return t.spark.createDataFrame([(n, round(float(m.train(d, n, "regression").intercept), 4)) for n in ("poisson", "tweedie")], "model string, intercept double")
 
 
+@query("mod_23_quantile", """WITH g AS (SELECT l_discount::DOUBLE AS x, l_quantity::DOUBLE AS y, count(*) AS w FROM lineitem GROUP BY 1, 2), q AS (SELECT unnest([0.1, 0.5, 0.9]) AS q),
+  line AS (SELECT DISTINCT (b.y - a.y) / (b.x - a.x) AS k, a.y - (b.y - a.y) / (b.x - a.x) * a.x AS c FROM g a JOIN g b ON a.x < b.x WHERE abs(b.y - a.y) <= 8),
+  r AS (SELECT q, k, c, sum(w * CASE WHEN y > c + k * x THEN q * (y - c - k * x) ELSE (q - 1) * (y - c - k * x) END) AS loss FROM g, line, q GROUP BY q, k, c)
+  SELECT q::DOUBLE AS quantile, (SELECT count(*) FROM lineitem) AS n_rows, round(min(loss), 3) AS loss, true AS balanced FROM r GROUP BY q""")
+def mod_23_quantile(t):
+    """Least pinball loss of quantity on discount; balanced: rows below the fit are no more than the quantile's share of all, those not above it no less."""
+    qs = [0.1, 0.5, 0.9]
+    fit = reg.quantile_regression(t.lineitem, "l_quantity", ["l_discount"], qs)
+    line = {(r["quantile"], r["term"]): r["coefficient"] for r in fit.collect()}
+    r = lambda q: F.col("l_quantity") - (F.lit(line[q, "(intercept)"]) + F.lit(line[q, "l_discount"]) * F.col("l_discount"))
+    n = F.count("*")
+    one = lambda q: F.struct(F.lit(q).alias("quantile"), n.alias("n_rows"), F.round(F.sum(F.greatest(q * r(q), (q - 1) * r(q))), 3).alias("loss"),
+                             ((F.count_if(r(q) < -1e-9) <= q * n + 1e-6) & (F.count_if(r(q) <= 1e-9) >= q * n - 1e-6)).alias("balanced"))
+    return t.lineitem.agg(F.array(*[one(q) for q in qs]).alias("a")).select(F.inline("a"))
+
+
+@query("mod_23_coefficients")
+def mod_23_coefficients(t):
+    fit = reg.quantile_regression(t.orders_target, "target", FEATS, [0.1, 0.5, 0.9])
+    return fit.select("quantile", "term", F.round("coefficient", 6).alias("coefficient"))
+
+
 @query("mod_24", """SELECT l_partkey, count(*) AS n, round(regr_slope(ln(l_quantity), ln(l_extendedprice)), 5) AS elasticity FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0 GROUP BY 1 HAVING count(*) > 2 AND var_pop(ln(l_extendedprice)) > 1e-9""")
 def mod_24(t):
     g = t.lineitem.where("l_quantity > 0 AND l_extendedprice > 0").groupBy("l_partkey").agg(F.count("*").alias("n"), F.regr_slope(F.log("l_quantity"), F.log("l_extendedprice")).alias("e"), F.var_pop(F.log("l_extendedprice")).alias("v"))
@@ -181,6 +228,15 @@ def mod_25(t):
     return m.survival_model(t.survival, "days", "event", ["arm"])
 
 
+@query("mod_25_cox", """WITH RECURSIVE r AS (SELECT days, sum(event) AS d, sum(event * arm) AS d1, sum(sum(1 - arm)) OVER (ORDER BY days DESC) AS n0, sum(sum(arm)) OVER (ORDER BY days DESC) AS n1 FROM survival GROUP BY days),
+  fit AS (SELECT 0 AS k, 0.0::DOUBLE AS b UNION ALL
+    SELECT k + 1, b + (SELECT sum(d1 - d * n1 * exp(b) / (n0 + n1 * exp(b))) / sum(d * n0 * n1 * exp(b) / pow(n0 + n1 * exp(b), 2)) FROM r) FROM fit WHERE k < 25)
+  SELECT 'arm' AS term, round(b, 6) AS coefficient, round(exp(b), 6) AS hazard_ratio, round(1 / sqrt((SELECT sum(d * n0 * n1 * exp(b) / pow(n0 + n1 * exp(b), 2)) FROM r)), 6) AS std_error FROM fit WHERE k = 25""", "survival")
+def mod_25_cox(t):
+    out = reg.cox_model(t.survival, "days", "event", ["arm"])
+    return out.select("term", *[rnd(F.col(c), 6).alias(c) for c in ("coefficient", "hazard_ratio", "std_error")])
+
+
 @query("mod_26")
 def mod_26(t):
     u = m.uplift(t.ab, "user_id", "arm", "spend", ["before", "segment"])
@@ -212,6 +268,16 @@ def mod_31(t):
     return m.halving(data(t), "logistic", "binary", m.draw_params("logistic", 6))
 
 
+@query("mod_31_hyperband", f"""WITH t AS (SELECT {H("concat(CAST(o_orderkey AS VARCHAR), '|sample')", 1000000)} AS slot FROM orders_target WHERE {H('o_orderkey', 100)} >= 20),
+  plan(bracket, rung, n_trials, budget) AS (VALUES (0, 0, 9, 1), (0, 1, 3, 3), (0, 2, 1, 9), (1, 0, 5, 3), (1, 1, 1, 9), (2, 0, 3, 9))
+  SELECT bracket, rung, n_trials::BIGINT AS n_trials, budget, (SELECT count(*) FROM t WHERE slot < 1000000 * budget // 9) AS n_rows, true AS best_kept FROM plan""", "orders_target")
+def mod_31_hyperband(t):
+    """Rungs of every bracket with their trials and training rows, and whether the best trial of each rung was kept."""
+    out = tuning.hyperband(data(t), "logistic", "binary", most=9)
+    best = F.max(F.when(F.col("kept"), F.col("score"))) == F.max("score")
+    return out.groupBy("bracket", "rung", "budget").agg(F.count("*").alias("n_trials"), F.max("n_rows").alias("n_rows"), best.alias("best_kept"))
+
+
 @query("mod_32", """SELECT user_id AS dataset, count(*) * 40 AS rows, CAST(5 AS BIGINT) AS n_features, round(count(DISTINCT event_type) / 10, 2) AS categorical_share, user_id % 3 = 0 AS time_indexed,
   CASE WHEN count(*) * 40 < 100 THEN 'linear_only' WHEN user_id % 3 = 0 THEN 'boosted_with_lags' WHEN count(*) * 40 > 1000000 THEN 'boosted_only' WHEN count(DISTINCT event_type) / 10 > 0.3 THEN 'boosted_categorical' WHEN count(*) * 40 > 100000 THEN 'boosted_no_svm' ELSE 'all_models' END AS advice FROM events GROUP BY user_id""")
 def mod_32(t):
