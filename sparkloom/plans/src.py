@@ -147,6 +147,25 @@ def src_16(t):
     return r.html_blocks(t.pages, "page_id", "html").select("page_id", "title", F.size("links").cast("bigint").alias("n_links"))
 
 
+@query("src_16_blocks")
+def src_16_blocks(t):
+    """Blocks of every page in order."""
+    from sparkloom.sources.markup import page_blocks
+
+    blocks = page_blocks(t.pages, "page_id", "html").select("page_id", F.posexplode("blocks").alias("block", "b"))
+    return blocks.select("page_id", "block", "b.kind", "b.text")
+
+
+@query("src_16_sections", """WITH s AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+  SELECT count(*) AS n_docs, (SELECT count(*) FROM s WHERE regexp_matches(line, '^#{1,6} ')) AS n_headings FROM documents""")
+def src_16_sections(t):
+    """Documents whose lines become Markdown sections: one heading for every fifth line, the rest as it is."""
+    from sparkloom.sources.markup import text_sections
+
+    s = text_sections(t.documents, "doc_id", "text")
+    return s.agg(F.count_if(F.col("level") > 0).alias("n_headings")).withColumn("n_docs", F.lit(t.documents.count()).cast("bigint"))
+
+
 @query("src_17", """SELECT 'event_type' AS "column", 'mistyped' AS problem, count(*) FILTER (TRY_CAST(event_type AS BIGINT) IS NULL AND event_type IS NOT NULL) AS cast_failures, 'HARD_STOP' AS status FROM events
   UNION ALL SELECT 'user_id', 'mistyped', count(*) FILTER (TRY_CAST(user_id AS INTEGER) IS NULL), 'WARNING' FROM events UNION ALL SELECT 'country', 'missing', NULL, 'HARD_STOP' FROM (SELECT count(*) FROM events) UNION ALL SELECT 'props', 'extra', NULL, 'WARNING' FROM (SELECT count(*) FROM events)""")
 def src_17(t):

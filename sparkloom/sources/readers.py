@@ -229,19 +229,14 @@ def scorecard(df: DataFrame, key: str, required: list[str], valid, consistent, t
 
 
 def html_blocks(df: DataFrame, key: str, html: str) -> DataFrame:
-    """Title, links and visible text of pages, by regular expressions in the JVM."""
-    from sparkloom.operators.retrieval import strip_html
+    """Title, links and visible text of pages; see markup.page_blocks for the blocks. A page without a title has an empty one."""
+    from sparkloom.sources.markup import page_blocks
 
-    body = F.col(html)
-    return df.select(key, F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"),
-                     F.regexp_extract_all(body, F.lit(r'(?i)<a[^>]*href="([^"]*)"'), F.lit(1)).alias("links"), strip_html(body).alias("text"))
+    return page_blocks(df, key, html).select(key, F.when(F.col("text").isNotNull(), F.coalesce("title", F.lit(""))).alias("title"), "links", "text")
 
 
 def markdown_sections(df: DataFrame, key: str, text: str) -> DataFrame:
     """Sections of a markdown text by their headings."""
-    parts = F.filter(F.split(F.col(text), r"(?m)^(?=#{1,6} )"), lambda s: F.trim(s) != "")
-    d = df.select(key, F.posexplode(parts).alias("section", "_s"))
-    head = F.regexp_extract("_s", r"^(#{1,6}) +([^\n]*)", 2)
-    return d.select(key, "section", F.length(F.regexp_extract("_s", r"^(#{1,6}) ", 1)).alias("level"), head.alias("heading"), F.trim(F.regexp_replace("_s", r"^#{1,6} [^\n]*\n?", "")).alias("body"))
-
+    from sparkloom.sources.markup import text_sections
 
+    return text_sections(df, key, text)
