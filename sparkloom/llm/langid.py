@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkloom.llm.common import record, schema_of, small_batches
+from sparkloom.llm.common import give_back, record, schema_of, small_batches
 
 SIZE = 2048
 SEED = 7
@@ -28,8 +28,8 @@ SAMPLE = 5000
 VOLUME, GRAMS = 1 << 19, 2048
 #: Unit vectors are rounded to this many steps, so that sums do not depend on their order.
 STEPS = 4096
-#: Documents whose best cosine is not above this are rejected by the filter; very short clean texts score low, so it is low.
-MIN_SCORE = 0.0
+#: Documents whose best cosine is not above this are rejected by the filter: two deviations of the cosine of vectors that have nothing in common.
+MIN_SCORE = 2 / SIZE**0.5
 
 
 @lru_cache(maxsize=1)
@@ -163,7 +163,7 @@ def prototypes(labelled: DataFrame, size: int = SIZE, seed: int = SEED, sample:
         return {}
     limit = F.create_map(*[F.lit(x) for lang, count in n.items() for x in (lang, min(1.0, sample / count))])
     chance = F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    parts = rows.where(chance < limit[F.col("lang")]).select("lang", "text").mapInArrow(_sums(size, seed), "lang string, at int, part long")
+    parts = rows.where(chance < limit[F.col("lang")]).select("lang", "text").mapInArrow(give_back(_sums(size, seed)), "lang string, at int, part long")
     out: dict[str, np.ndarray] = {}
     for r in parts.groupBy("lang", "at").agg(F.sum("part").alias("v")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("v")).collect():
         value = np.array([x["v"] for x in r["v"]], dtype=np.float64)
@@ -201,7 +201,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str], s
     small_batches(docs.sparkSession)
     rows = docs.select(*[F.col(c) for c in keep], F.col("text").cast("string").alias("__llm_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(_predict(profiles, size, seed), f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(give_back(_predict(profiles, size, seed)), f"{kinds}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -210,8 +210,13 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def keep_known(docs: DataFrame, min_score: float = MIN_SCORE, size: int = SIZE, seed: int = SEED, sample: int = SAMPLE) -> DataFrame:
-    """docs without those whose language cannot be told: `und`, or a best cosine that is not above min_score. Columns are those of docs."""
+    """docs without those whose language cannot be told: `und`, or a best cosine that is not above min_score. Columns are those of docs.
+
+    Where no row has a lang to learn from, an error is raised rather than all rows dropped; an empty table stays empty.
+    """
     profiles = prototypes(docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")), size, seed, sample)
+    if not profiles and not docs.isEmpty():
+        raise ValueError("no document has a language to learn from")
     names = {c: f"__llm_{i}" for i, c in enumerate(docs.columns)}  # a column of docs may have any name
     other = docs.select(*[F.col(c).alias(n) for c, n in names.items()], "text")
     found = predict(other, profiles, list(names.values()), size, seed).where((F.col("lang_pred") != "und") & (F.col("score") > min_score))

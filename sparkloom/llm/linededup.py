@@ -17,7 +17,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm.common import as_bytes, record, schema_of, small_batches, stored
+from sparkloom.llm.common import as_bytes, give_back, record, schema_of, small_batches, stored
 from sparkloom.session import new_scratch_path
 
 MIN_CHARS = 20
@@ -158,7 +158,7 @@ def _drops(docs: DataFrame, min_chars: int, min_docs: int, batches: int | None,
     """(doc_id, drop): keys that each document loses."""
     small_batches(docs.sparkSession)
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    keys = stored(thin.mapInArrow(_keys(min_chars), "doc_id long, key binary"), "line-keys")
+    keys = stored(thin.mapInArrow(give_back(_keys(min_chars)), "doc_id long, key binary"), "line-keys")
     once = keys.distinct() if docs.groupBy("doc_id").count().where("count > 1").limit(1).count() else keys
     found = repeated_keys(once, batches, fanout, min_docs)
     return once.join(found, "key").where("doc_id <> last_doc").groupBy("doc_id").agg(F.collect_list("key").alias("drop"))
@@ -174,7 +174,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     drops = _drops(docs, min_chars, min_docs, batches, fanout)
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = thin.join(drops, "doc_id", "left").select("text", "drop", F.col("doc_id").alias("row"))
-    out = joined.mapInArrow(_kept(min_chars), "text string, n_lines long, n_dropped long, kept string, row long")
+    out = joined.mapInArrow(give_back(_kept(min_chars)), "text string, n_lines long, n_dropped long, kept string, row long")
     return out.select(F.col("row").alias("doc_id"), "text", "n_lines", "n_dropped", "kept")
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from sparkloom.llm.common import as_bytes, record, schema_of, small_batches, volumes
+from sparkloom.llm.common import as_bytes, give_back, record, schema_of, small_batches, volumes
 
 CAPACITY = 4096
 END = 2
@@ -277,4 +277,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     """
     small_batches(docs.sparkSession)
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return thin.mapInArrow(_pack(tokenizer, capacity, end, fill, classes, with_ids), PIECES + (", ids array<int>" if with_ids else ""))
+    return thin.mapInArrow(give_back(_pack(tokenizer, capacity, end, fill, classes, with_ids)), PIECES + (", ids array<int>" if with_ids else ""))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from sparkloom.llm.common import as_bytes, record, schema_of, small_batches, stored, volumes, whole_runs
+from sparkloom.llm.common import as_bytes, give_back, record, schema_of, small_batches, stored, volumes, whole_runs
 from sparkloom.llm.packing import Words
 
 CAPACITY = 4096
@@ -144,7 +144,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     """
     small_batches(docs.sparkSession)
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = stored(thin.mapInArrow(_pieces(tokenizer, capacity, end), PIECES), "residual-pieces")
+    pieces = stored(thin.mapInArrow(give_back(_pieces(tokenizer, capacity, end)), PIECES), "residual-pieces")
     return packed(pieces, capacity, part, fanin, slack).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

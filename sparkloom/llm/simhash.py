@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from sparkloom.llm.common import as_bytes, block_pairs, forest, linked, record, schema_of, small_batches, starts_of, stored, whole_runs
+from sparkloom.llm.common import as_bytes, block_pairs, forest, give_back, linked, record, schema_of, small_batches, starts_of, stored, whole_runs
 
 WORDS = 3
 MAX_BITS = 3
@@ -64,7 +64,7 @@ def _prints(words: int):
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp): one row per input row; null and empty texts have fingerprint zero."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_prints(words), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(give_back(_prints(words)), "doc_id long, fp long")
 
 
 def syndrome(half: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sparkloom.llm.common import record, schema_of, small_batches, starts_of, volumes
+from sparkloom.llm.common import give_back, record, schema_of, small_batches, starts_of, volumes
 
 SIZE = 128
 #: (code points from which on it is used, k, s)
@@ -321,4 +321,4 @@ def edited_likeness(docs: DataFrame, size: int = SIZE, part_bytes: int = PART_BY
     rows = placed.select("part", "doc_id", "text", F.lit(False).alias("tail")).unionByName(tails)
     sort = ["part", "tail", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text"]
     tasks = min(parts, TASKS)
-    return rows.repartitionById(tasks, F.floor(F.col("part") * tasks / parts).cast("int")).sortWithinPartitions(*sort).mapInArrow(_walk(size), ALIKE)
+    return rows.repartitionById(tasks, F.floor(F.col("part") * tasks / parts).cast("int")).sortWithinPartitions(*sort).mapInArrow(give_back(_walk(size)), ALIKE)

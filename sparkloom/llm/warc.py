@@ -28,6 +28,8 @@ SHARD_BYTES, ROLL_BYTES, LEVEL = 64 << 20, 16 << 20, 6
 MIN_BYTES = 0
 #: Ids that shard bounds are taken from, about.
 BOUND_SAMPLE = 20_000
+#: Tasks that write at most; a task writes several shards, one after another, where there are more.
+TASKS = 20_000
 DATE = "2000-01-01T00:00:00Z"
 MANIFEST = "file string, shard long, records long, bytes long, sha256 string"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -169,7 +171,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, sh
     hints = revisits.select(shard, "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("member"), F.lit(0).cast("long").alias("n"), "sha", "first", "first_url")
     both = records.unionByName(hints)
     staging = _made(spark, f"{folder.rstrip('/')}/_staging-{uuid.uuid4().hex}")
-    ordered = both.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "page_id", "sha", F.col("member").isNotNull(), "url")
+    tasks = min(len(cuts) + 1, TASKS)
+    ordered = both.repartitionById(tasks, F.floor(F.col("shard") * tasks / (len(cuts) + 1)).cast("int")).sortWithinPartitions("shard", "page_id", "sha", F.col("member").isNotNull(), "url")
     files = ordered.mapInArrow(_write(staging, roll_bytes, level, date), MANIFEST)
     files.write.parquet(f"{staging}/_manifest")
     _rename(spark, staging, f"{folder.rstrip('/')}/archives")
@@ -248,6 +251,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per page record of the archives under `folder`; every digest is checked. Spark leaves out hidden files; a task holds archives of spark.sql.files.maxPartitionBytes at most."""
+    """One row per page record of the archives under `folder`; every digest is checked. Spark leaves out hidden files; a task holds archives of spark.sql.files.maxPartitionBytes at most.
+
+    The files are held against the manifest first: a missing, foreign or cut file is an error.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(f"{folder.rstrip('/')}/archives")
+    there = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("there"))
+    wanted = spark.read.schema(MANIFEST).parquet(f"{folder.rstrip('/')}/archives/_manifest").select("file", "bytes")
+    wrong = wanted.join(there, "file", "full").where(~F.col("bytes").eqNullSafe(F.col("there"))).select("file").limit(5).collect()
+    if wrong:
+        raise ValueError(f"archives differ from their manifest: {', '.join(sorted(r['file'] for r in wrong))}")
     return files.select("path", "content").mapInArrow(_read, PAGES)

@@ -156,3 +156,25 @@ def test_pipeline_on_awkward_and_empty_tables(spark, edge, none):
             assert d is None or d in left or any(e < d for e in near)
             assert d not in left or all(e >= d for e in near if e in left)
         assert set(kept["packing"]) <= set(kept["mixing"]) and kept["packing"]
+
+
+def test_archives_are_held_against_their_manifest(spark):
+    folder = new_scratch_path(spark, "warc-lost")
+    warc.write_archives(spark.createDataFrame([(i, "http://a", f"page {i} " * 300) for i in range(50)], "page_id long, url string, html string"), folder, shard_bytes=30_000, roll_bytes=500)
+    assert warc.read_archives(spark, folder).count() == 50
+    path = folder.removeprefix("file://") + "/archives"
+    lost = sorted(f for f in os.listdir(path) if f.endswith(".warc.gz"))[1]
+    os.rename(f"{path}/{lost}", f"{path}/{lost}.gone")
+    with pytest.raises(ValueError, match=lost):
+        warc.read_archives(spark, folder)
+
+
+def test_languages_need_labels(spark, none):
+    from sparkloom.llm import langid
+
+    docs = spark.createDataFrame([(1, "some words", None), (2, "more words", None)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.keep_known(docs)
+    assert langid.keep_known(none).collect() == []
+    learned = spark.createDataFrame([(i, "the river runs past the old mill and the people read their books in the evening " * 3, "en") for i in range(20)] + [(50, "Это русский текст о погоде и о людях", None), (51, "the old mill", None)], "doc_id long, text string, lang string")
+    assert 50 not in {r["doc_id"] for r in langid.keep_known(learned).collect()} >= {0, 19, 51}
