@@ -84,30 +84,88 @@ def layered(layers: list[DataFrame], key: str) -> DataFrame:
 
 # Words in column names that hint at a subject.
 DOMAIN_WORDS = {
-    "marketing": ["click", "campaign", "conversion", "channel", "view", "impression", "session", "churn"],
-    "retail": ["purchase", "order", "price", "product", "basket", "stock", "sku"],
-    "finance": ["balance", "credit", "loan", "fraud", "transaction", "interest", "default"],
-    "healthcare": ["patient", "diagnosis", "dosage", "admission", "bmi", "glucose"],
-    "manufacturing": ["sensor", "error", "defect", "machine", "downtime", "failure"],
-    "social": ["post", "follower", "like", "share", "comment", "hashtag", "signup"],
+    "real_estate": ["property", "price", "bedroom", "bathroom", "balcony", "area", "sqft", "location", "address", "floor", "listing", "sale", "rent", "lease", "tenant",
+                    "mortgage", "interest_rate", "building", "apartment", "house", "villa", "parking"],
+    "healthcare": ["patient", "diagnosis", "icd", "cpt", "hba1c", "bmi", "blood_pressure", "vitals", "dosage", "prescription", "admission", "discharge", "lab_result", "glucose", "heart_rate",
+                   "symptom", "treatment", "clinical", "medical", "hospital", "medication", "mortality"],
+    "finance": ["balance", "credit", "debit", "transaction", "loan", "interest_rate", "apr", "risk_score", "default", "fraud", "revenue", "portfolio", "yield", "collateral", "mortgage",
+                "equity", "dividend", "stock", "asset", "liability", "income", "account"],
+    "marketing": ["campaign", "click", "impression", "ctr", "conversion", "bounce", "session", "channel", "clv", "ltv", "churn", "cohort", "attribution", "acquisition", "retention",
+                  "engagement", "lead", "funnel", "landing_page", "segment", "referral", "ad_spend"],
+    "retail": ["product", "sku", "price", "quantity", "order", "cart", "category", "inventory", "discount", "shipping", "return", "basket", "store", "supplier", "warehouse",
+               "delivery", "purchase", "sale", "promotion", "stock", "demand", "customer_id"],
+    "social": ["post", "like", "share", "comment", "follower", "engagement", "sentiment", "hashtag", "mention", "reach", "impression", "view", "subscriber", "content", "video",
+               "influencer", "audience", "viral", "reaction", "thread", "message", "username"],
+    "manufacturing": ["sensor", "temperature", "pressure", "vibration", "rpm", "cycle_time", "defect", "yield", "batch", "tolerance", "control_chart", "oee", "downtime", "maintenance", "failure",
+                      "calibration", "inspection", "quality", "scrap", "machine", "humidity", "torque"],
     "logistics": ["shipment", "carrier", "warehouse", "delivery", "route", "lead_time"],
 }
 
+# What the name of a dataset of a subject holds.
+DOMAIN_NAMES = {
+    "real_estate": r"(property|realestate|real_estate|housing|apartment|flat|house|price|rental|estate)",
+    "healthcare": r"(patient|clinical|medical|hospital|health|diagnosis|pharma|drug)",
+    "finance": r"(transaction|credit|loan|fraud|bank|financ|stock|portfolio|risk)",
+    "marketing": r"(campaign|market|churn|customer|lead|email|ad_|advertis|crm)",
+    "retail": r"(product|order|sales|store|inventory|retail|ecommerce|shop|basket)",
+    "social": r"(social|tweet|post|comment|sentiment|engag|content|influenc|reddit)",
+    "manufacturing": r"(sensor|manufactur|factory|machine|quality|defect|mainten|iot)",
+}
+#: Words of a table that is given, at most.
+MOST_WORDS = 1_000_000
+
 
-def tag_domains(columns: DataFrame, floor: float = 0.25) -> DataFrame:
-    """columns: dataset, column, dataset_name, value_share, type_share. Best subject per dataset.
+def word_hits(columns: DataFrame, words: list[tuple[str, str]]) -> DataFrame:
+    """(dataset, domain, word) of the words (domain, word) that stand anywhere in a column name of the dataset, each once.
 
-    Name hits count up to five (weight .4), the dataset name .2, value patterns .3, types .1.
+    All words are looked for at once by an automaton that every task gets; names are in lower case, spaces are underscores.
+    """
+    import ahocorasick
+
+    domains: dict[str, list[str]] = {}
+    for domain, word in words:
+        domains.setdefault(word.lower(), []).append(domain)
+    kind = columns.schema["dataset"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for word, own in domains.items():
+            automaton.add_word(word, (word, own))
+        automaton.make_automaton()
+        for batch in batches:
+            at, found = [], []
+            for i, name in enumerate(batch.column(1).to_pylist()):
+                hits = {hit for _, hit in ((e, w) for e, (w, _) in automaton.iter(name))} if len(automaton) and name else ()
+                for word in sorted(hits):
+                    for domain in domains[word]:
+                        at.append(i)
+                        found.append((domain, word))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, type=pa.int64())), pa.array([d for d, _ in found], type=pa.string()), pa.array([w for _, w in found], type=pa.string())], names=["dataset", "domain", "word"])
+
+    names = columns.select("dataset", F.replace(F.lower("column"), F.lit(" "), F.lit("_")).alias("name"))
+    return names.mapInArrow(run, f"dataset {kind}, domain string, word string").distinct()
+
+
+def tag_domains(columns: DataFrame, floor: float = 0.5, words: DataFrame | None = None) -> DataFrame:
+    """columns: dataset, column, dataset_name, value_share, type_share. Best subject per dataset, general below the floor.
+
+    The words of a subject that stand in its column names count up to five (weight .4), the dataset name .2, value patterns .3, types .1.
+    `words` (domain, word) replaces the list above, which has the commonest words; a longer one is a table of up to MOST_WORDS rows.
     """
-    spark = columns.sparkSession
-    words = spark.createDataFrame([(d, w) for d, ws in DOMAIN_WORDS.items() for w in ws], "domain string, word string")
-    names = columns.select("dataset", F.explode(F.array_distinct(F.split(F.lower("column"), "_"))).alias("word")).distinct()
-    hits = names.join(words, "word").groupBy("dataset", "domain").agg(F.count("*").alias("hits"))
+    listed = [(d, w) for d, ws in DOMAIN_WORDS.items() for w in ws]
+    if words is not None:
+        listed = [(r["domain"], r["word"]) for r in words.select("domain", "word").distinct().limit(MOST_WORDS + 1).collect()]
+        if len(listed) > MOST_WORDS:
+            raise ValueError(f"more than {MOST_WORDS} words")
+    hits = word_hits(columns, listed).groupBy("dataset", "domain").agg(F.count("*").alias("hits"))
     facts = columns.groupBy("dataset").agg(F.max("dataset_name").alias("name"), F.max("value_share").alias("v"), F.max("type_share").alias("t"))
+    named = F.lit(False)
+    for domain in sorted({d for d, _ in listed}):
+        named = named | ((F.col("domain") == domain) & F.lower("name").rlike(DOMAIN_NAMES.get(domain, domain)))
     s = hits.join(facts, "dataset")
-    score = F.least(F.col("hits") / 5, F.lit(1.0)) * 0.4 + F.when(F.contains("name", "domain"), 0.2).otherwise(0.0) + F.col("v") * 0.3 + F.col("t") * 0.1
+    score = F.least(F.col("hits") / 5, F.lit(1.0)) * 0.4 + F.when(named, 0.2).otherwise(0.0) + F.col("v") * 0.3 + F.col("t") * 0.1
     best = s.withColumn("score", score).groupBy("dataset").agg(F.max_by("domain", F.struct(F.round("score", 6), "domain")).alias("d"), F.max("score").alias("score"))
     every = facts.select("dataset").join(best, "dataset", "left")
     return every.select("dataset", F.when(F.col("score") >= floor, F.col("d")).otherwise("general").alias("domain"), rnd(F.coalesce("score", F.lit(0.0))).alias("score"))
-
-

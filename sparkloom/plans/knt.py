@@ -89,11 +89,11 @@ def knt_10(t):
 WORDS = ", ".join(f"('{d}', '{w}')" for d, ws in c.DOMAIN_WORDS.items() for w in ws)
 
 
-@query("knt_11", f"""WITH w(domain, word) AS (VALUES {WORDS}), n AS (SELECT DISTINCT dataset, unnest(string_split("column", '_')) AS word FROM catalog_columns), h AS (SELECT dataset, domain, count(*) AS hits FROM n JOIN w USING (word) GROUP BY 1, 2),
+@query("knt_11", f"""WITH w(domain, word) AS (VALUES {WORDS}), h AS (SELECT dataset, domain, count(DISTINCT word) AS hits FROM catalog_columns JOIN w ON contains(lower(replace("column", ' ', '_')), word) GROUP BY 1, 2),
   f AS (SELECT dataset, {H('dataset', 2)} = 0 AS named, {H('dataset', 10)} / 10.0 AS v, 0.5 AS t FROM (SELECT DISTINCT dataset FROM catalog_columns)),
   s AS (SELECT h.dataset, domain, round((least(hits / 5, 1) * 0.4 + CASE WHEN named AND domain = 'retail' THEN 0.2 ELSE 0 END + v * 0.3 + t * 0.1)::DOUBLE, 6) AS score FROM h JOIN f USING (dataset)),
   b AS (SELECT dataset, arg_max(domain, (score, domain)) AS d, max(score) AS score FROM s GROUP BY 1)
-  SELECT f.dataset, CASE WHEN b.score >= 0.25 THEN d ELSE 'general' END AS domain, round(coalesce(b.score, 0), 4) AS score FROM f LEFT JOIN b USING (dataset)""", "catalog_columns")
+  SELECT f.dataset, CASE WHEN b.score >= 0.5 THEN d ELSE 'general' END AS domain, round(coalesce(b.score, 0), 4) AS score FROM f LEFT JOIN b USING (dataset)""", "catalog_columns")
 def knt_11(t):
     k = hash_bucket("dataset", 2)
     cols = t.catalog_columns.withColumns({"dataset_name": F.when(k == 0, "retail_tables").otherwise("tables"), "value_share": hash_bucket("dataset", 10) / 10.0, "type_share": F.lit(0.5)})

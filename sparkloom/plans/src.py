@@ -142,7 +142,7 @@ def src_15(t):
     return r.upsert(once, batch, ["o_orderkey"], "version")
 
 
-@query("src_16", """SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '(?i)<a[^>]*href="([^"]*)"', 1)) AS n_links FROM pages""")
+@query("src_16", """SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '[ \\t\\n]+', ' ', 'g')) AS title, len(regexp_extract_all(html, '(?i)<a[^>]*href="([^"]*)"', 1)) AS n_links FROM pages""")
 def src_16(t):
     return r.html_blocks(t.pages, "page_id", "html").select("page_id", "title", F.size("links").cast("bigint").alias("n_links"))
 
@@ -156,14 +156,14 @@ def src_16_blocks(t):
     return blocks.select("page_id", "block", "b.kind", "b.text")
 
 
-@query("src_16_sections", """WITH s AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
-  SELECT count(*) AS n_docs, (SELECT count(*) FROM s WHERE regexp_matches(line, '^#{1,6} ')) AS n_headings FROM documents""")
+@query("src_16_sections", """SELECT c_custkey, s::INT AS section, s::INT + 1 AS level, CASE s WHEN 0 THEN c_name ELSE c_mktsegment END AS heading,
+  CASE s WHEN 0 THEN 'Balance ' || c_nationkey || chr(10) || '```' || chr(10) || '# in a fence' || chr(10) || '```' ELSE 'end' END AS body FROM customer, (SELECT unnest([0, 1]) AS s)""")
 def src_16_sections(t):
-    """Documents whose lines become Markdown sections: one heading for every fifth line, the rest as it is."""
+    """A card in Markdown of every customer, cut into its sections; the fence holds no heading."""
     from sparkloom.sources.markup import text_sections
 
-    s = text_sections(t.documents, "doc_id", "text")
-    return s.agg(F.count_if(F.col("level") > 0).alias("n_headings")).withColumn("n_docs", F.lit(t.documents.count()).cast("bigint"))
+    card = F.concat(F.lit("# "), "c_name", F.lit(" #\nBalance "), F.col("c_nationkey").cast("string"), F.lit("\n```\n# in a fence\n```\n\n"), "c_mktsegment", F.lit("\n---\nend\n"))
+    return text_sections(t.customer.withColumn("card", card), "c_custkey", "card")
 
 
 @query("src_17", """SELECT 'event_type' AS "column", 'mistyped' AS problem, count(*) FILTER (TRY_CAST(event_type AS BIGINT) IS NULL AND event_type IS NOT NULL) AS cast_failures, 'HARD_STOP' AS status FROM events
