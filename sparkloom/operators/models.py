@@ -72,10 +72,15 @@ def with_weights(df: DataFrame) -> DataFrame:
 
 
 def split(df: DataFrame, share: int = 20) -> tuple[DataFrame, DataFrame]:
-    test = hash_bucket("key", 100) < share
+    """(training, test) rows by a salted hash of the key, so that nothing else derived from a hash of the key goes with it."""
+    test = hash_bucket(F.concat(F.col("key").cast("string"), F.lit("|split")), 100) < share
     return df.where(~test), df.where(test)
 
 
+def fold_of(folds: int) -> Column:
+    return hash_bucket(F.concat(F.col("key").cast("string"), F.lit("|fold")), folds)
+
+
 EVALUATORS = {
     "binary": ("roc_auc", lambda: BinaryClassificationEvaluator(metricName="areaUnderROC")),
     "multiclass": ("f1", lambda: MulticlassClassificationEvaluator(metricName="f1")),
@@ -116,7 +121,7 @@ def train_many(data: DataFrame, names: list[str], problem: str, threads: int = 4
 def cross_validate(data: DataFrame, name: str, problem: str, folds: int = 5, **params) -> DataFrame:
     """Mean and population deviation of the score over hash folds."""
     metric, make = EVALUATORS[problem]
-    d = data.withColumn("_fold", hash_bucket("key", folds)).persist()
+    d = data.withColumn("_fold", fold_of(folds)).persist()
     scores = []
     for k in range(folds):
         m = train(d.where(F.col("_fold") != k), name, problem, **params)
@@ -162,7 +167,7 @@ def search(data: DataFrame, name: str, problem: str, trials: list[dict], folds:
     maps = [{est.getParam(k): v for k, v in t.items()} for t in trials]
     metric, make = EVALUATORS[problem]
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=make(), numFolds=folds, foldCol="_fold", parallelism=parallelism)
-    fitted = cv.fit(rows.withColumn("_fold", hash_bucket("key", folds).cast("int")))
+    fitted = cv.fit(rows.withColumn("_fold", fold_of(folds).cast("int")))
     table = [(i, str(sorted((k, round(v, 5)) for k, v in t.items())), metric, round(float(s), 4)) for i, (t, s) in enumerate(zip(trials, fitted.avgMetrics))]
     return data.sparkSession.createDataFrame(table, "trial int, params string, metric string, score double").orderBy(F.desc("score"), "trial")
 
@@ -223,14 +228,21 @@ def batch_score(model: PipelineModel, df: DataFrame, day: Column, path: str, kee
     return df.sparkSession.read.parquet(path)
 
 
-def balanced_bags(data: DataFrame, bags: int = 5) -> DataFrame:
-    """Trees on balanced bags, their votes averaged."""
-    votes = None
-    for b in range(bags):
-        m = DecisionTreeClassifier(maxDepth=5, seed=SEED).fit(undersample(data, "key", "label", 1.0, b))
-        v = m.transform(data).select("key", "label", vector_to_array("probability")[1].alias(f"v{b}"))
-        votes = v if votes is None else votes.join(v.drop("label"), "key")
-    return votes.select("key", "label", (sum((F.col(f"v{b}") for b in range(bags)), F.lit(0.0)) / bags).alias("score"))
+def balanced_bags(data: DataFrame, bags: int = 100, judged: DataFrame | None = None, threads: int = 4) -> DataFrame:
+    """(key, label, score): trees on balanced bags of `data`, their votes on `judged` (other rows; data itself where not given) averaged in one pass."""
+    rows = data.persist()
+    try:
+        one = lambda b: DecisionTreeClassifier(maxDepth=5, seed=SEED, predictionCol=f"_p{b}", probabilityCol=f"_v{b}", rawPredictionCol=f"_r{b}").fit(undersample(rows, "key", "label", 1.0, b))
+        with ThreadPoolExecutor(threads) as pool:
+            trees = list(pool.map(one, range(bags)))
+    finally:
+        rows.unpersist()
+    votes = data if judged is None else judged
+    total = F.lit(0.0)
+    for b, tree in enumerate(trees):
+        votes = tree.transform(votes).drop(f"_p{b}", f"_r{b}")
+        total = total + vector_to_array(f"_v{b}")[1]
+    return votes.select("key", "label", (total / bags).alias("score"))
 
 
 def _scaled(df: DataFrame, features: list[str], centre: bool = True) -> DataFrame:
@@ -417,14 +429,15 @@ def isolation_scores(df: DataFrame, key: str, features: list[str], trees: int =
     return df.select(key, F.pandas_udf(score, "double")(F.struct(*[F.col(f).cast("double").alias(f) for f in features])).alias("score"))
 
 
-def calibrate(scored: DataFrame, method: str = "sigmoid") -> DataFrame:
-    """scored: key, label, score. Adds a calibrated score."""
-    v = VectorAssembler(inputCols=["score"], outputCol="_s").transform(scored)
+def calibrate(scored: DataFrame, method: str = "sigmoid", judged: DataFrame | None = None) -> DataFrame:
+    """scored: key, label, score. Adds a calibrated score to `judged`, rows of the same form that the fit has not seen (scored itself where not given)."""
+    assembler = VectorAssembler(inputCols=["score"], outputCol="_s")
+    v, other = assembler.transform(scored), assembler.transform(scored if judged is None else judged)
     if method == "sigmoid":
         m = LogisticRegression(featuresCol="_s", labelCol="label", predictionCol="_p", probabilityCol="_pr", rawPredictionCol="_r").fit(v)
-        return m.transform(v).select("key", "label", "score", vector_to_array("_pr")[1].alias("calibrated"))
+        return m.transform(other).select("key", "label", "score", vector_to_array("_pr")[1].alias("calibrated"))
     m = IsotonicRegression(featuresCol="_s", labelCol="label", predictionCol="calibrated").fit(v)
-    return m.transform(v).select("key", "label", "score", "calibrated")
+    return m.transform(other).select("key", "label", "score", "calibrated")
 
 
 def recommend(df: DataFrame, user: str, item: str, weight: str, k: int = 5, rank: int = 8) -> DataFrame:

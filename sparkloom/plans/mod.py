@@ -72,7 +72,9 @@ def mod_07(t):
 
 @query("mod_08")
 def mod_08(t):
-    d = m.balanced_bags(data(t))
+    """Balanced bags fitted on one part of the rows and judged on the other."""
+    tr, te = m.split(data(t))
+    d = m.balanced_bags(tr, 20, te)
     return auc(d.select(F.col("label").cast("int").alias("y"), F.round("score", 4).alias("score"))).select(rnd(F.col("auc")).alias("roc_auc"))
 
 
@@ -184,9 +186,11 @@ def mod_21(t):
 
 @query("mod_22")
 def mod_22(t):
-    s = t.preds.select(F.col("id").alias("key"), F.col("y").cast("double").alias("label"), "score")
+    """Brier score before and after, on rows that the calibration has not seen."""
+    scored = t.preds.select(F.col("id").alias("key"), F.col("y").cast("double").alias("label"), "score")
+    tr, te = m.split(scored, 50)
     gap = lambda d: d.agg(rnd(F.avg(F.pow(F.col("calibrated") - F.col("label"), 2)), 5).alias("brier"), rnd(F.avg(F.pow(F.col("score") - F.col("label"), 2)), 5).alias("brier_before"))
-    return gap(m.calibrate(s)).withColumn("method", F.lit("sigmoid")).unionByName(gap(m.calibrate(s, "isotonic")).withColumn("method", F.lit("isotonic")))
+    return gap(m.calibrate(tr, "sigmoid", te)).withColumn("method", F.lit("sigmoid")).unionByName(gap(m.calibrate(tr, "isotonic", te)).withColumn("method", F.lit("isotonic")))
 
 
 @query("mod_23")
@@ -268,7 +272,7 @@ def mod_31(t):
     return m.halving(data(t), "logistic", "binary", m.draw_params("logistic", 6))
 
 
-@query("mod_31_hyperband", f"""WITH t AS (SELECT {H("concat(CAST(o_orderkey AS VARCHAR), '|sample')", 1000000)} AS slot FROM orders_target WHERE {H('o_orderkey', 100)} >= 20),
+@query("mod_31_hyperband", f"""WITH t AS (SELECT {H("concat(CAST(o_orderkey AS VARCHAR), '|sample')", 1000000)} AS slot FROM orders_target WHERE {H("concat(CAST(o_orderkey AS VARCHAR), '|split')", 100)} >= 20),
   plan(bracket, rung, n_trials, budget) AS (VALUES (0, 0, 9, 1), (0, 1, 3, 3), (0, 2, 1, 9), (1, 0, 5, 3), (1, 1, 1, 9), (2, 0, 3, 9))
   SELECT bracket, rung, n_trials::BIGINT AS n_trials, budget, (SELECT count(*) FROM t WHERE slot < 1000000 * budget // 9) AS n_rows, true AS best_kept FROM plan""", "orders_target")
 def mod_31_hyperband(t):

@@ -143,3 +143,21 @@ def test_radial_features(spark):
     ev = m.EVALUATORS["binary"][1]()
     auc = lambda rows: ev.evaluate(m.train(rows, "svm", "binary").transform(rows))
     assert auc(d) < 0.7 < 0.97 < auc(kernels.radial_features(d.drop("features"), ["a", "b"], scales, gamma=1.0))
+
+
+def test_bags_and_calibration_are_judged_on_other_rows(spark):
+    d = m.prepare(spark.range(4000).select("id", F.rand(1).alias("a"), F.rand(2).alias("b"), (F.rand(3) < 0.3).cast("int").alias("noise")), "id", ["a", "b"], "noise")
+    tr, te = m.split(d, 50)
+    out = m.balanced_bags(tr, 5, te)
+    ev = m.EVALUATORS["binary"][1]
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    auc = lambda rows: BinaryClassificationEvaluator(rawPredictionCol="score").evaluate(rows)
+    assert {r["key"] for r in out.collect()} == {r["key"] for r in te.select("key").collect()}
+    assert abs(auc(out) - 0.5) < 0.06 < auc(m.balanced_bags(tr, 5)) - 0.5  # noise can't be learned, only remembered
+    rows = spark.range(4000).select(F.col("id").alias("key"), (F.rand(5) < F.pow(F.rand(4), 2)).cast("double").alias("label"), F.rand(4).alias("score"))
+    tr, te = m.split(rows, 50)
+    for method in ("sigmoid", "isotonic"):
+        got = m.calibrate(tr, method, te)
+        brier = got.agg(F.avg(F.pow(F.col("calibrated") - F.col("label"), 2)), F.avg(F.pow(F.col("score") - F.col("label"), 2))).first()
+        assert got.count() == te.count() and brier[0] < brier[1]
