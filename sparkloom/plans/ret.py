@@ -80,6 +80,17 @@ def ret_07(t):
     return r.evaluate(near, exact.select("query_id", "vec_id"), "query_id", "vec_id", 10)
 
 
+@query("ret_07_quantised")
+def ret_07_quantised(t):
+    """Search by product-quantised residuals, every vector a query, and its recall against the exact one."""
+    from sparkloom.operators.vectors import quantised_top_k
+
+    q = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    exact = r.dense_top_k(t.embeddings, "vec_id", "embedding", q, "query_id", "query_vector", 10)
+    near = quantised_top_k(t.embeddings, "vec_id", "embedding", q, "query_id", "query_vector", 10)
+    return r.evaluate(near, exact.select("query_id", "vec_id"), "query_id", "vec_id", 10)
+
+
 @query("ret_08", f"""WITH {BM}, tf AS (SELECT * FROM bm WHERE rank <= 50), len AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY abs(n_chars - length(b.text)), doc_id) AS rank FROM tf JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)),
   f AS (SELECT coalesce(x.item_id, y.item_id) AS item_id, coalesce(x.doc_id, y.doc_id) AS doc_id, round(coalesce(0.5 / (60 + x.rank), 0) + coalesce(0.5 / (60 + y.rank), 0), 8) AS score FROM (SELECT * FROM tf WHERE rank <= 20) x FULL JOIN (SELECT * FROM len WHERE rank <= 20) y ON x.item_id = y.item_id AND x.doc_id = y.doc_id)
   SELECT item_id, doc_id, score::DOUBLE AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 10""")
