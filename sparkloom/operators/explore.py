@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
@@ -43,14 +45,15 @@ def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
     return counts.select("bin", rnd(F.lit(lo) + F.col("bin") * F.lit(width / k)).alias("low_edge"), "n")
 
 
-def density_curve(df: DataFrame, column: str, grid: int = 50, cells: int = 200) -> DataFrame:
-    """Gaussian density on a grid with Scott's bandwidth, from cell counts (never rows x grid)."""
+def density_curve(df: DataFrame, column: str, grid: int = 50, per_band: int = 20) -> DataFrame:
+    """Gaussian density on a grid with Scott's bandwidth, from cell counts (never rows x grid). A cell is a `per_band`-th of the bandwidth, whatever the range."""
     x = F.col(column).cast("double")
     s = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.stddev_samp(x).alias("sd")).first()
     if not s["n"] or not s["sd"]:
         return df.sparkSession.createDataFrame([], "x double, density double")
     band = s["sd"] * s["n"] ** -0.2
     width = s["hi"] - s["lo"]
+    cells = math.ceil(per_band * width / band)
     cell = F.least(F.floor((x - s["lo"]) * cells / width), F.lit(cells - 1))
     counts = df.where(x.isNotNull()).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
     centre = F.lit(s["lo"]) + (F.col("cell") + 0.5) * F.lit(width / cells)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sparkloom.functions.exprs import ratio, rnd
 from sparkloom.session import cut_lineage
@@ -26,11 +26,11 @@ def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> Data
     return ranks.select("node", "rank")
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Smallest node id of each node's component: neighbour minimum, then a jump to the label's label."""
+def components(edges: DataFrame) -> DataFrame:
+    """Smallest node id of each node's component: neighbour minimum, then a jump to the label's label, until nothing changes."""
     arcs = cut_lineage(both_ways(edges))
     labels = arcs.groupBy(F.col("src").alias("node")).agg(F.least(F.min("src"), F.min("dst")).alias("label"))
-    for _ in range(max_rounds):
+    while True:
         near = arcs.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("_m"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "_m").alias("_l"))
         jump = step.join(labels.select(F.col("node").alias("_l"), F.col("label").alias("_ll")), "_l", "left")
@@ -39,20 +39,41 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         labels = new.select("node", F.col("_new").alias("label"))
         if not moved:
             return labels
-    raise RuntimeError("components did not settle")
 
 
-def core_numbers(edges: DataFrame, k: int, max_rounds: int = 100) -> DataFrame:
-    """Nodes of the k-core: drop nodes of lower degree until none is left."""
+def k_core(edges: DataFrame, k: int) -> DataFrame:
+    """(node, d) of the k-core, d the degree in it: nodes of lower degree go until none is left."""
     left = cut_lineage(edges)
-    for _ in range(max_rounds):
+    size = left.count()
+    while True:
         degree = both_ways(left).groupBy("src").agg(F.count("*").alias("d"))
         keep = degree.where(F.col("d") >= k)
         nxt = cut_lineage(left.join(keep.select(F.col("src").alias("a")), "a", "left_semi").join(keep.select(F.col("src").alias("b")), "b", "left_semi").select("a", "b"))
-        if nxt.count() == left.count():
+        now = nxt.count()
+        if now == size:
             return degree.select(F.col("src").alias("node"), "d")
-        left = nxt
-    raise RuntimeError("core did not settle")
+        left, size = nxt, now
+
+
+def core_numbers(edges: DataFrame) -> DataFrame:
+    """(node, core): the largest k whose k-core holds the node.
+
+    Starting from its degree, a node takes the largest h such that h neighbours have at least h, until no node changes. A hub's neighbours
+    are counted by their number before they are shuffled, and numbers above its own count as its own, so a node has few rows.
+    """
+    arcs = cut_lineage(both_ways(edges))
+    now = arcs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("core"))
+    down = W.partitionBy("node").orderBy(F.desc("v"))
+    while True:
+        own = now.select(F.col("node").alias("src"), F.col("core").alias("mine"))
+        near = arcs.join(now.select(F.col("node").alias("dst"), "core"), "dst").join(own, "src")
+        counts = near.groupBy(F.col("src").alias("node"), "mine", F.least("core", "mine").alias("v")).agg(F.count("*").alias("n"))
+        reach = counts.withColumn("at_least", F.sum("n").over(down))
+        new = cut_lineage(reach.groupBy("node", "mine").agg(F.max(F.least("v", "at_least")).alias("core")))
+        moved = new.where("core <> mine").limit(1).count()
+        now = new.select("node", "core")
+        if not moved:
+            return now
 
 
 def triangles(edges: DataFrame) -> DataFrame:

@@ -185,8 +185,8 @@ def halving(data: DataFrame, name: str, problem: str, trials: list[dict], factor
     while factor ** rungs < len(trials):
         rungs += 1
     for r in range(rungs + 1):
-        share = int(1000 / factor ** (rungs - r))
-        part = data.where(hash_bucket(F.concat(F.col("key").cast("string"), F.lit("h")), 1000) < max(share, 50))
+        share = max(50, int(1000 / factor ** (rungs - r)))
+        part = data.where(hash_bucket(F.concat(F.col("key").cast("string"), F.lit("h")), 1000) < share)
         scores = search(part, name, problem, [t for _, t in alive], folds).collect()
         by = {alive[s["trial"]][0]: s["score"] for s in scores}
         log += [(r, share, i, by[i]) for i, _ in alive]

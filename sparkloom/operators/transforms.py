@@ -9,14 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.functions.exprs import hash_bucket
 from sparkloom.operators.ordered import row_numbers
 from sparkloom.operators.quantiles import exact_quantiles
 
-# Categories fitted as literals (one column each); wider ones become a sparse vector by a mapping table.
+# Columns that one-hot encoding may make; wider categories are asked for as a vector.
 MAX_ONE_HOT = 200
 
 
@@ -136,29 +135,25 @@ def minmax_scaling(train, c):
     return _replace(c, (_num(c) - F.lit(s["a"])) / F.lit(s["b"] - s["a"])) if s["a"] is not None and s["b"] > s["a"] else _skip("constant column")
 
 
-def one_hot_encoding(train, c):
-    """Sorted categories, first one dropped, null gives all zeros.
-
-    Up to MAX_ONE_HOT categories become a column each; more of them one sparse vector column `<c>_onehot`, whose places are the label codes.
-    """
-    found = [r[0] for r in train.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).distinct().orderBy("v").limit(MAX_ONE_HOT + 1).collect()]
-    if len(found) > MAX_ONE_HOT:
-        return _one_hot_vector(train, c)
+def one_hot_encoding(train, c, most=MAX_ONE_HOT):
+    """Sorted categories, first one dropped, a column each; null and unknown values give all zeros. More than `most` categories are an error: see one_hot_vector."""
+    found = [r[0] for r in train.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).distinct().orderBy("v").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{c} has more than {most} categories; one_hot_vector puts them in one column")
     text = F.col(c).cast("string")
     cols = [(f"{c}_{v}", F.when(text == v, 1).otherwise(0)) for v in found[1:]]
     return Fitted(lambda df: df.select("*", *[e.alias(n) for n, e in cols]).drop(c), [n for n, _ in cols])
 
 
-def _one_hot_vector(train, c):
-    codes = label_codes(train, c)
-    width = codes.count() - 1
-    out = f"{c}_onehot"
-
-    @F.udf(VectorUDT())
-    def vector(code):
-        return Vectors.sparse(width, [] if code is None or code < 1 else [(int(code) - 1, 1.0)])
+def one_hot_vector(train, c):
+    """One sparse vector column `<c>_onehot`, whatever the number of categories: place i is the category of label code i + 1; the first one, null and unknown values are all zeros."""
+    from pyspark.ml.feature import OneHotEncoder
 
-    return Fitted(lambda df: _mapped(df, c, codes, "_code", None, out=out).withColumn(out, vector(out)).drop(c), [out])
+    codes = label_codes(train, c)
+    width, out = max(codes.count() - 1, 1), f"{c}_onehot"
+    place = F.when(F.col("_hot").isNull() | (F.col("_hot") < 1), F.lit(width)).otherwise(F.col("_hot") - 1).cast("double")  # the last place is dropped
+    encoder = OneHotEncoder(inputCols=["_hot"], outputCols=[out], dropLast=True).fit(train.sparkSession.createDataFrame([(float(width),)], "_hot double"))
+    return Fitted(lambda df: encoder.transform(_mapped(df, c, codes, "_code", None, out="_hot").withColumn("_hot", place)).drop("_hot", c), [out])
 
 
 def label_codes(train: DataFrame, c: str) -> DataFrame:
@@ -329,7 +324,7 @@ TRANSFORMS: dict[str, Callable] = {
     "drop": drop, "consider_dropping": drop, "median_imputation": median_imputation, "mean_imputation": mean_imputation,
     "mode_imputation": mode_imputation, "log_transform": log_transform, "yeo_johnson_transform": yeo_johnson_transform,
     "standard_scaling": standard_scaling, "clip_outliers": clip_outliers, "robust_scaling": robust_scaling,
-    "maxabs_scaling": maxabs_scaling, "minmax_scaling": minmax_scaling, "one_hot_encoding": one_hot_encoding,
+    "maxabs_scaling": maxabs_scaling, "minmax_scaling": minmax_scaling, "one_hot_encoding": one_hot_encoding, "one_hot_vector": one_hot_vector,
     "label_encoding": label_encoding, "frequency_encoding": frequency_encoding, "target_encoding": target_encoding,
     "extract_dates": extract_dates, "indicator_feature": indicator_feature, "binary_encoding": binary_encoding,
     "polynomial_features": polynomial_features, "reciprocal": reciprocal, "extract_numeric": extract_numeric,

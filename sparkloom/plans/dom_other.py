@@ -251,7 +251,12 @@ CORE = _rounds("SELECT a, b FROM edges", "SELECT e.a, e.b FROM PREV e JOIN (SELE
 
 @query("dom_45_core", f"WITH {CORE} SELECT node, count(*) AS d FROM (SELECT a AS node FROM r12 UNION ALL SELECT b FROM r12) GROUP BY 1", "edges")
 def dom_45_core(t):
-    return gr.core_numbers(t.edges, 3)
+    return gr.k_core(t.edges, 3)
+
+
+@query("dom_45_core_numbers")
+def dom_45_core_numbers(t):
+    return gr.core_numbers(t.edges)
 
 
 LABELS = _rounds("SELECT DISTINCT src AS node, src AS label FROM arcs",

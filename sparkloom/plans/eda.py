@@ -42,9 +42,9 @@ def eda_03(t):
     return x.histogram(t.events, "value")
 
 
-@query("eda_04", """WITH s AS (SELECT count(value) AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) * pow(count(value), -0.2) AS h FROM events),
-  c AS (SELECT least(floor((value - lo) * 200 / (hi - lo)), 199) AS cell, count(*) AS m FROM events, s GROUP BY 1)
-  SELECT round(lo + i * ((hi - lo) / 49), 6) AS x, round(sum(m * exp(-0.5 * pow((lo + i * ((hi - lo) / 49) - (lo + (cell + 0.5) * ((hi - lo) / 200))) / h, 2))
+@query("eda_04", """WITH b AS (SELECT count(value) AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) * pow(count(value), -0.2) AS h FROM events), s AS (SELECT *, ceil(20 * (hi - lo) / h) AS k FROM b),
+  c AS (SELECT least(floor((value - lo) * k / (hi - lo)), k - 1) AS cell, count(*) AS m FROM events, s GROUP BY 1)
+  SELECT round(lo + i * ((hi - lo) / 49), 6) AS x, round(sum(m * exp(-0.5 * pow((lo + i * ((hi - lo) / 49) - (lo + (cell + 0.5) * ((hi - lo) / k))) / h, 2))
   / (h * n) / sqrt(2 * pi())), 6) AS density FROM c, s, (SELECT unnest(generate_series(0, 49)) AS i) GROUP BY lo, hi, i""")
 def eda_04(t):
     return x.density_curve(t.events, "value")

@@ -27,7 +27,7 @@ def ret_02(t):
 @query("ret_03", f"""WITH p AS (SELECT doc_id, w AS term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK.format(c='text')}) AS w FROM documents) GROUP BY 1, 2)
   SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total, round(ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM p GROUP BY 1""")
 def ret_03(t):
-    out = r.term_table(r.postings(t.documents, "doc_id", "text"), t.documents.count())
+    out = r.term_table(t.documents, "text", t.documents.count())
     return out.withColumn("idf", rnd(F.col("idf"), 6))
 
 

@@ -1,6 +1,5 @@
 """Source, sink and landing queries; files are written from the tables and read back."""
 
-from functools import reduce
 
 from pyspark.sql import functions as F, types as T
 
@@ -98,9 +97,8 @@ def src_10(t):
     kept = ((kind != "view") | k.isin(5, 6)) & ((kind != "click") | (k > 5)) & ((kind != "error") | k.isin(4, 6))
     tail = F.array(*[F.lit(x) for x in CENSUS])[k.cast("int")]
     names = t.events.where(kept).select("event_type", F.concat(F.lit("/data/f"), F.col("event_id").cast("string"), tail).alias("path"))
-    folders = [r[0] for r in names.select("event_type").distinct().orderBy("event_type").collect()]
-    out = [r.census(names.where(F.col("event_type") == x)).withColumn("folder", F.lit(x)) for x in folders]
-    return reduce(lambda a, b: a.unionByName(b), out).select("folder", "total", "tabular", "image", "audio", "text_doc", "heavy_doc", "label_file", "track", "confidence")
+    out = r.census(names.withColumnRenamed("event_type", "folder"), ["folder"])
+    return out.select("folder", "total", "tabular", "image", "audio", "text_doc", "heavy_doc", "label_file", "track", "confidence")
 
 
 @query("src_11", "SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day, count(*) AS n FROM events GROUP BY 1, 2, 3")

@@ -127,8 +127,8 @@ HEAVY_DOCS = ["pdf", "docx", "epub", "html", "htm"]
 LABEL_FILES = ["labels.csv", "labels.json", "train.csv", "metadata.csv", "annotations.json", "annotations.csv"]
 
 
-def census(files: DataFrame) -> DataFrame:
-    """files: path. Family counts of a file tree, and the kind of project they point to with a subtype and confidence.
+def census(files: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """files: path. Family counts of a file tree (of each tree, told apart by the columns `by`), and the kind of project they point to with a subtype and confidence.
 
     The first rule that holds decides; without one it is the largest family, with a flag that this is a guess.
     """
@@ -136,7 +136,8 @@ def census(files: DataFrame) -> DataFrame:
     ext = F.regexp_extract(name, r".\.([a-z0-9]+)$", 1)
     counts = {family: F.count_if(ext.isin(suffixes)) for family, suffixes in FAMILIES.items()}
     counts |= {"heavy_doc": F.count_if(ext.isin(HEAVY_DOCS)), "label_file": F.count_if(name.isin(LABEL_FILES))}
-    g = files.agg(F.count("*").alias("total"), *[e.alias(n) for n, e in counts.items()])
+    by = by or []
+    g = files.groupBy(*by).agg(F.count("*").alias("total"), *[e.alias(n) for n, e in counts.items()])
     part = lambda n: F.col(n) / F.col("total")
     guess = F.element_at(F.array_sort(F.array(*[F.struct((-F.col(n)).alias("n"), F.lit(i).alias("i"), F.lit(track).alias("track"), F.lit(sub).alias("subtype"))
                                                 for i, (n, track, sub) in enumerate([("tabular", "tabular", None), ("image", "dl", "cv-classification"), ("audio", "dl", "audio"), ("text_doc", "rag", "text-rag")])])), 1)
@@ -153,7 +154,7 @@ def census(files: DataFrame) -> DataFrame:
     found = F.struct(guess["track"].alias("track"), guess["subtype"].alias("subtype"), F.lit(0.4).alias("confidence"), F.lit(True).alias("ambiguous"))
     for holds, track, sub, confidence, ambiguous in reversed(rules):
         found = F.when(holds, F.struct(F.lit(track).alias("track"), F.lit(sub).cast("string").alias("subtype"), F.lit(confidence).alias("confidence"), F.lit(ambiguous).alias("ambiguous"))).otherwise(found)
-    return g.withColumn("_f", found).select("total", *counts, "_f.track", "_f.subtype", "_f.confidence", "_f.ambiguous")
+    return g.withColumn("_f", found).select(*by, "total", *counts, "_f.track", "_f.subtype", "_f.confidence", "_f.ambiguous")
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:

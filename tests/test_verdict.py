@@ -1,11 +1,14 @@
 """Edges that small, clean, time-ordered tables cannot show: nulls, infinities, hot keys, ties, slices, late files."""
 
 import math
+import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from sparkloom.operators import explore, healthcare, marketing, metrics, models, ordered, quantiles, retrieval, splits, transforms
+from sparkloom.operators import explore, graph, healthcare, marketing, metrics, models, ordered, quantiles, retrieval, splits, transforms
 from sparkloom.session import new_scratch_path
 from sparkloom.sources import readers
 from sparkloom.streaming import streams
@@ -66,7 +69,11 @@ def test_code_groups_of_different_length(spark):
 
 def test_wide_categories_become_a_vector(spark):
     df = spark.range(300).select(F.format_string("c%03d", F.col("id") % 250).alias("c"))
-    out = transforms.one_hot_encoding(df, "c").apply(df.unionByName(spark.createDataFrame([(None,), ("new",)], "c string")))
+    with pytest.raises(ValueError):
+        transforms.one_hot_encoding(df, "c")
+    narrow = transforms.one_hot_vector(df.limit(3), "c").apply(df.limit(3))
+    assert narrow.columns == ["c_onehot"] and {r[0].size for r in narrow.collect()} == {2}  # the same column for few categories
+    out = transforms.one_hot_vector(df, "c").apply(df.unionByName(spark.createDataFrame([(None,), ("new",)], "c string")))
     assert out.columns == ["c_onehot"] and out.count() == 302
     sums = out.select(F.expr("1")).count(), sum(int(r[0].values.sum()) for r in out.collect())
     assert sums[1] == 300 - 2  # the first category, twice in the table, is all zeros
@@ -211,3 +218,34 @@ def test_isolation_takes_its_sample_and_scores_all(spark):
     df = spark.range(2000).select("id", F.when(F.col("id") == 7, 50.0).otherwise(F.randn(3)).alias("a"), F.when(F.col("id") % 100 == 1, None).otherwise(F.randn(4)).alias("b"))
     got = models.isolation_scores(df, "id", ["a", "b"], trees=20, sample=1000)
     assert got.count() == 2000 and 7 in [r["id"] for r in got.orderBy(F.desc("score")).limit(60).collect()]
+
+
+def test_cores_of_any_depth(spark):
+    """A path of 300 nodes peels from its ends, one pair a round; core numbers against plain peeling."""
+    path = spark.range(149).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert graph.k_core(path.limit(30), 2).collect() == []
+    rng = random.Random(4)
+    edges = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(120)} | {(50, 51), (51, 52), (50, 52), (0, 99)})
+    left, core = set(edges), {}
+    for k in range(1, 40):
+        while True:
+            degree = Counter(x for e in left for x in e)
+            low = {x for x, d in degree.items() if d < k}
+            if not low:
+                break
+            left = {e for e in left if not low & set(e)}
+        for x in Counter(x for e in left for x in e):
+            core[x] = k
+    got = {r["node"]: r["core"] for r in graph.core_numbers(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == core
+
+
+def test_density_with_an_outlier(spark):
+    """Cells follow the bandwidth, so one far value does not flatten the rest."""
+    df = spark.range(2000).select(((F.col("id") % 100) / 100).alias("v")).unionByName(spark.createDataFrame([(500.0,)], "v double"))
+    rows = explore.density_curve(df, "v", grid=2000).collect()
+    values = np.array([r["v"] for r in df.collect()])
+    band = values.std(ddof=1) * len(values) ** -0.2
+    for r in rows[:: 97]:
+        want = np.exp(-0.5 * ((r["x"] - values) / band) ** 2).sum() / band / len(values) / (2 * np.pi) ** 0.5
+        assert abs(r["density"] - want) < 0.02 * want + 2e-6
