@@ -108,12 +108,12 @@ class Words:
 
     def learn(self, words: list[bytes], plain: bool) -> None:
         """plain: the words are in lower case and hold no string of a special token, so endings can be taken off."""
-        split = [m.groups() if plain and (m := ENDING.fullmatch(w)) else (w,) for w in words]
+        split = [(w,) if w.isalpha() or not plain or not (m := ENDING.fullmatch(w)) else m.groups() for w in words]
         pieces = [p for parts in split for p in parts]
         missing = [p for p in set(pieces) if p not in self.parts.number]
         if len(self.parts.number) + len(missing) > REMEMBER:
             self.parts, missing = Ids(), list(set(pieces))
-        plain_words = [w for w in missing if SIMPLE.fullmatch(w)]
+        plain_words = [w for w in missing if w.isalpha() and w.islower() or SIMPLE.fullmatch(w)]
         for i in range(0, len(plain_words), 20_000):
             self.add_together(plain_words[i : i + 20_000])
         self.add_each([w for w in missing if w not in self.parts.number])
