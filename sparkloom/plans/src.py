@@ -84,6 +84,22 @@ def src_09(t):
 CENSUS = [".csv", ".parquet", ".feather", ".xls", "/train.csv", ".png", ".markdown", ".pdf", ".aac", ".bin"]
 
 
+@query("src_09_files", """SELECT true AS same_for_any_split, true AS all_differ, count(*) AS n_tables FROM (SELECT count(*) AS n FROM events UNION ALL SELECT count(*) FROM documents UNION ALL SELECT count(*) FROM lineitem)""")
+def src_09_files(t):
+    """Fingerprints of the files of three tables, read in splits of two sizes."""
+    from sparkloom.sources.content import content_fingerprints, tree_fingerprint
+
+    key, found = "spark.sql.files.maxPartitionBytes", []
+    old = t.spark.conf.get(key)
+    try:
+        for size in ("64m", "1m"):
+            t.spark.conf.set(key, size)
+            found.append([tree_fingerprint(content_fingerprints(t.spark, t.path(n))).first()["fingerprint"] for n in ("events", "documents", "lineitem")])
+    finally:
+        t.spark.conf.set(key, old)
+    return t.spark.createDataFrame([(found[0] == found[1], len(set(found[0])) == 3, 3)], "same_for_any_split boolean, all_differ boolean, n_tables long")
+
+
 @query("src_10", f"""WITH f AS (SELECT event_type AS folder, {H('event_id', 10)} AS k FROM events), c AS (SELECT folder, count(*) AS total, count(*) FILTER (k < 5) AS tabular, count(*) FILTER (k = 5) AS image, count(*) FILTER (k = 8) AS audio,
     count(*) FILTER (k IN (6, 7)) AS text_doc, count(*) FILTER (k = 7) AS heavy_doc, count(*) FILTER (k = 4) AS label_file FROM f WHERE (folder <> 'view' OR k = 5 OR k = 6) AND (folder <> 'click' OR k > 5) AND (folder <> 'error' OR k = 6 OR k = 4) GROUP BY 1)
   SELECT folder, total, tabular, image, audio, text_doc, heavy_doc, label_file,
