@@ -7,6 +7,7 @@ from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from sparkloom.operators.leaves import nearest
 from sparkloom.operators.neighbours import knn
 from sparkloom.operators.ordered import Spec, row_numbers, running
 from sparkloom.operators.quantiles import exact_quantiles
@@ -66,7 +67,13 @@ def interpolate(df, keys, order, value, out, max_seconds: int, **kw) -> DataFram
 
 
 def knn_impute(df: DataFrame, row_id: str, target: str, features: list[str], k: int = 5) -> DataFrame:
-    """Mean target of the k nearest complete rows, exactly (see neighbours.knn)."""
+    """Mean target of the k nearest complete rows, exactly: by cells in up to three dimensions (neighbours.knn), by tree leaves in more (leaves.nearest)."""
+    if len(features) > 3:
+        seen = df.where(F.col(target).isNotNull())
+        near = nearest(df.where(F.col(target).isNull()), seen.select(F.col(row_id).alias("_donor"), *features), row_id, "_donor", features, k)
+        near = near.join(seen.select(F.col(row_id).cast("long").alias("_donor"), F.col(target).alias("_value")), "_donor")
+        filled = near.groupBy(row_id).agg(F.avg("_value").alias("_fill"))
+        return df.join(filled, row_id, "left").withColumn(target, F.coalesce(F.col(target), F.col("_fill"))).drop("_fill")
     donors = df.where(F.col(target).isNotNull()).select(F.col(row_id).alias("_donor"), *features, F.col(target).alias("_value"))
     gaps = df.where(F.col(target).isNull()).select(row_id, *features)
     near = knn(gaps, donors, row_id, "_donor", features, k, ["_value"])

@@ -84,6 +84,17 @@ def int_10(t):
     return out.select("query", "neighbour", "rank", rnd(F.col("distance"), 6).alias("distance"))
 
 
+@query("int_10_wide", """WITH v AS (SELECT vec_id, embedding[1:8]::DOUBLE[] AS x FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.x, b.x) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+  SELECT vec_id, neighbour, round(d, 5) AS distance, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour)::INT AS rank FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour) <= 5""")
+def int_10_wide(t):
+    """Five nearest neighbours of every row in eight dimensions."""
+    from sparkloom.operators.leaves import nearest
+
+    coords = [F.col("embedding")[i] for i in range(8)]
+    own = t.embeddings.select("vec_id", F.col("vec_id").alias("neighbour"), "embedding")
+    return nearest(own, own, "vec_id", "neighbour", coords, 5, skip_self=True, leaf=200).select("vec_id", "neighbour", rnd(F.col("distance"), 5).alias("distance"), "rank")
+
+
 @query("int_11", "SELECT c_nationkey % 4 AS cluster, count(*) AS n, round(avg(c_acctbal), 4) AS mean_c_acctbal, round(avg(o_totalprice), 4) AS mean_o_totalprice, round(avg(y), 4) AS label_share, count(*) FILTER (y = 1) AS n_label FROM orders_target GROUP BY 1", "orders_target")
 def int_11(t):
     return e.cluster_profile(t.orders_target.withColumn("cluster", F.col("c_nationkey") % 4), "cluster", ["c_acctbal", "o_totalprice"], "y")
