@@ -9,9 +9,10 @@ audit of a state is a node that shares its prefix with other audits: a linked li
 every node. Two audits of equal cost are compared at the end of their longest common prefix, found by jumping as long as the hashes
 differ; prefixes of equal hash are then compared edit by edit up to a node that both share, so a collision can't decide.
 
-Rows lie in ranges of (conversation, turn, role, text), so a conversation may span ranges. Of the conversations at the edges of a range the
-programme is run from every state to every state, the ranges of a conversation are chained by a small table, and a last pass over the
-same ranges writes the repaired text in chunks, which are hashed one after another.
+Rows lie in ranges of (conversation, turn, role, text), so a conversation may span ranges; texts are shuffled into them once, and what is known of equal
+rows (how often, seen before) comes by their digests. Of the conversations at the edges of a range the programme is run from every state to
+every state, the ranges of a conversation are chained by a small table, and the rows of these conversations, which the first pass puts
+aside, give the repaired text in chunks that are hashed one after another.
 """
 
 from __future__ import annotations
@@ -24,8 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkloom.llm.common import record, schema_of, small_batches
-from sparkloom.session import cut_lineage
+from sparkloom.llm.common import give_back, record, schema_of, small_batches, stored
 
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
 #: White space, and what ends a whole sentence.
@@ -145,6 +145,7 @@ class Part:
 
     rows: list[tuple[str, bool, bool]] = field(default_factory=list)
     texts: list[tuple[str, str]] = field(default_factory=list)
+    raw: list[tuple] = field(default_factory=list)
     blank: int = 0
     duplicate: int = 0
     truncated: int = 0
@@ -156,8 +157,7 @@ class Part:
     turns: int = 0
 
     def add(self, turn, role, text, copies, new, blank, truncated) -> None:
-        if not copies:
-            return
+        self.raw.append((turn, role, text, copies, new, blank, truncated))
         initial = role[:1]
         for i in range(copies):
             fresh = new and not i
@@ -202,31 +202,42 @@ def repaired(part: Part, audit: str, state: int = NOTHING) -> Iterator[bytes]:
 
 
 SUMMARY = "conv_id long, part long, whole boolean, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string, first string, last string, low long, high long, turns long, costs array<long>, audits array<string>"
+ROW = "r_turn long, r_role string, r_text string, r_copies long, r_fresh boolean, r_blank boolean, r_cut boolean"
+FOUND = f"{SUMMARY}, seq long, {ROW}"
 
 
 def _kinds(text: str) -> pa.Schema:
     return pa.schema([pa.field(n, pa.list_(pa.string())) if k == "array<string>" else schema_of(f"{n} {k}").field(0) for n, k in (x.split(" ") for x in text.split(", "))])
 
 
-def _parts(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("conv_id",)) -> Iterator[tuple[tuple, Part]]:
-    """Keys and rows of one conversation after another."""
-    key, part = None, None
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Part]]:
+    """One conversation of a range after another. A mark, with what is known of equal rows, comes before their text; only the first of equal texts counts."""
+    conv, part, mark = None, None, None
     for batch in batches:
-        own = zip(*(batch.column(n).to_pylist() for n in keys), strict=True)
-        rows = zip(*(batch.column(n).to_pylist() for n in ("turn", "role", "text", "copies", "fresh", "blank", "truncated")), strict=True)
-        for k, row in zip(own, rows, strict=True):
-            if part is None or k != key:
+        for c, turn, role, text, copies, fresh, blank, cut in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "turn", "role", "text", "copies", "fresh", "blank", "truncated")), strict=True):
+            if part is None or c != conv:
                 if part is not None:
-                    yield key, part
-                key, part = k, Part()
-            part.add(*row)
+                    yield conv, part
+                conv, part, mark = c, Part(), None
+            if text is None:
+                mark = (copies, fresh) if copies else None
+            elif mark is not None:
+                part.add(turn, role, text, *mark, blank, cut)
+                mark = None
     if part is not None:
-        yield key, part
+        yield conv, part
+
+
+def _filled(schema: pa.Schema, n: int, columns: dict[str, list]) -> pa.RecordBatch:
+    """A batch of n rows with these columns, the other ones null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per conversation: final ones of those inside the range, and of those at its edges what chaining needs."""
-    schema, number = _kinds(SUMMARY), TaskContext.get().partitionId()
+    """A row per conversation: final ones of those inside the range, and of those at its edges what chaining needs, then their rows (whole is null)."""
+    schema, number = _kinds(FOUND), TaskContext.get().partitionId()
+    names = [f.name for f in _kinds(SUMMARY)]
+    raw = [f.name for f in _kinds(ROW)]
 
     def row(conv, part: Part, edge: bool) -> tuple:
         gaps = part.high - part.low + 1 - part.turns if part.turns else 0
@@ -240,19 +251,31 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return (conv, number, False, *known, None, None, None, part.first, part.last, part.low, part.high, part.turns,
                 [None if x is None else x[0] for x in ends], [None if x is None else x[1].text() for x in ends])
 
+    def put_aside(conv, part: Part) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(part.raw), 1000):
+            some = part.raw[s : s + 1000]
+            columns = {n: [r[i] for r in some] for i, n in enumerate(raw)}
+            yield _filled(schema, len(some), columns | {"conv_id": [conv] * len(some), "part": [number] * len(some), "seq": list(range(s, s + len(some)))})
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        return _filled(schema, len(rows), dict(zip(names, (list(c) for c in zip(*rows, strict=True)), strict=True)))
+
     held, rows, first = None, [], True
-    for (conv,), part in _parts(batches):
+    for conv, part in _conversations(batches):
         if held is not None:
             rows.append(row(*held, first))
+            if first:
+                yield from put_aside(*held)
             first = False
         held = (conv, part)
         if len(rows) >= 500:
-            yield record(schema, *(list(c) for c in zip(*rows, strict=True)))
+            yield rows_of(rows)
             rows = []
     if held is not None:
         rows.append(row(*held, True))
+        yield from put_aside(*held)
     if rows:
-        yield record(schema, *(list(c) for c in zip(*rows, strict=True)))
+        yield rows_of(rows)
 
 
 def chain(parts: list[dict]) -> tuple[tuple, list[tuple[int, int, int]]]:
@@ -309,18 +332,32 @@ def _texts(chunk: int):
     """Chunks of the repaired text of each (conversation, range), which has the states before and after it."""
     schema = schema_of("conv_id long, part long, chunk long, bytes binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (conv, number, before, after), part in _parts(batches, ("conv_id", "part", "before", "after")):
-            audit = part.audits([before])[before][after][1].text()
-            lines, size, at = [], 0, 0
-            for line in repaired(part, audit, before):
-                lines.append(line)
-                size += len(line) + 1
-                if size >= chunk:
-                    yield record(schema, [conv], [number], [at], [b"\n".join(lines)])
-                    lines, size, at = [], 0, at + 1
-            if lines:
+    def chunks(key: tuple, part: Part) -> Iterator[pa.RecordBatch]:
+        conv, number, before, after = key
+        audit = part.audits([before])[before][after][1].text()
+        lines, size, at = [], 0, 0
+        for line in repaired(part, audit, before):
+            lines.append(line)
+            size += len(line) + 1
+            if size >= chunk:
                 yield record(schema, [conv], [number], [at], [b"\n".join(lines)])
+                lines, size, at = [], 0, at + 1
+        if lines:
+            yield record(schema, [conv], [number], [at], [b"\n".join(lines)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, part = None, None
+        names = [f.name for f in _kinds(ROW)]
+        for batch in batches:
+            own = zip(*(batch.column(n).to_pylist() for n in ("conv_id", "part", "before", "after")), strict=True)
+            for k, r in zip(own, zip(*(batch.column(n).to_pylist() for n in names), strict=True), strict=True):
+                if k != key:
+                    if part is not None:
+                        yield from chunks(key, part)
+                    key, part = k, Part()
+                part.add(*r)
+        if part is not None:
+            yield from chunks(key, part)
 
     return run
 
@@ -367,17 +404,22 @@ def undamaged(rows: DataFrame) -> DataFrame:
 
 
 def ordered_rows(rows: DataFrame, per_range: int) -> DataFrame:
-    """Rows with their faults, equal ones merged, in ranges of (conv_id, turn, role, text), each sorted. The ranges are checkpointed."""
-    merged = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies")).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    """Texts with their own faults and, before them, marks of equal rows (copies, fresh: not seen earlier), in sorted ranges of (conv_id, turn, role, digest)."""
+    same = ["conv_id", "turn", "role", "digest"]
+    own = rows.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    merged = own.groupBy(*same).agg(F.sum("copies").alias("copies"))
     often = merged.where("copies > 0").groupBy("conv_id", "role", "digest").agg(F.min(F.struct("turn")).alias("first"), F.count("*").alias("n")).where("n > 1")
     often = often.select(F.col("conv_id").alias("conv"), F.col("role").alias("r"), F.col("digest").alias("d"), F.col("first.turn").alias("first"), F.lit(True).alias("again"))
     known = merged.join(often, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("role") == F.col("r")) & (F.col("digest") == F.col("d")), "left")
+    no = F.lit(None)
+    marks = known.select(*same, no.cast("string").alias("text"), "copies", (F.col("again").isNull() | F.col("turn").eqNullSafe(F.col("first"))).alias("fresh"),
+                         no.cast("boolean").alias("blank"), no.cast("boolean").alias("truncated"))
     core = F.btrim(F.col("text"), F.lit(BLANKS))
-    marked = known.select("conv_id", "turn", "role", "text", "copies", "digest", (F.col("again").isNull() | F.col("turn").eqNullSafe(F.col("first"))).alias("fresh"),
-                          (core == "").alias("blank"), (F.instr(F.lit(ENDS), F.substring(core, -1, 1)) == 0).alias("truncated"))
+    texts = own.where("copies > 0").select(*same, "text", no.cast("long").alias("copies"), no.cast("boolean").alias("fresh"), (core == "").alias("blank"),
+                                           (F.instr(F.lit(ENDS), F.substring(core, -1, 1)) == 0).alias("truncated"))
     ranges = max(1, -(-rows.count() // per_range))
-    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "digest")]
-    return cut_lineage(marked.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id().cast("long")))
+    order = [F.col(c).asc_nulls_first() for c in same]
+    return marks.unionByName(texts).repartitionByRange(ranges, *order).sortWithinPartitions(*order, F.col("text").isNotNull())
 
 
 def repair(rows: DataFrame, per_range: int = ROWS, chunk: int = CHUNK) -> DataFrame:
@@ -393,13 +435,13 @@ def repair(rows: DataFrame, per_range: int = ROWS, chunk: int = CHUNK) -> DataFr
     hash is one stream; all else is done range by range.
     """
     small_batches(rows.sparkSession)
-    ranges = ordered_rows(rows, per_range)
-    found = cut_lineage(ranges.mapInArrow(_summaries, SUMMARY))
+    found = stored(ordered_rows(rows, per_range).mapInArrow(give_back(_summaries), FOUND), "dialogue-found")
     by_conv = lambda df, *order: df.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), *order)
-    steps = cut_lineage(by_conv(found.where("not whole"), "part").mapInArrow(_chained, STEPS))
+    steps = stored(by_conv(found.where("NOT whole"), "part").mapInArrow(_chained, STEPS), "dialogue-steps")
     at = steps.select(F.col("conv_id").alias("conv"), F.col("part").alias("p"), "before", "after")
-    edges = ranges.join(at, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("part") == F.col("p"))).drop("conv", "p")
-    edges = edges.repartition("conv_id", "part").sortWithinPartitions("part", *(F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "digest")))
+    edges = found.where("whole IS NULL").select("conv_id", "part", "seq", *[f.name for f in _kinds(ROW)])
+    edges = edges.join(at, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("part") == F.col("p"))).drop("conv", "p")
+    edges = edges.repartition("conv_id", "part").sortWithinPartitions("part", F.col("conv_id").asc_nulls_first(), "seq")
     hashes = by_conv(edges.mapInArrow(_texts(chunk), "conv_id long, part long, chunk long, bytes binary"), "part", "chunk").mapInArrow(_hashed, "conv_id long, repaired_sha256 string")
     hashes = hashes.withColumnRenamed("conv_id", "conv")
     chained = steps.where("audit is not null").join(hashes, F.col("conv_id").eqNullSafe(F.col("conv")), "left").withColumn(
