@@ -17,10 +17,14 @@ def data(t, target="y"):
 
 
 def binary(t, name, **kw):
-    tr, te = m.split(data(t))
-    out = m.train(tr, name, "binary", **kw).transform(te)
-    ev = m.EVALUATORS["binary"][1]()
-    return t.spark.createDataFrame([(name, te.count(), round(float(ev.evaluate(out)), 4))], "model string, n_test long, roc_auc double")
+    rows = data(t).persist()  # the fit, the scores and the count share one join
+    try:
+        tr, te = m.split(rows)
+        out = m.train(tr, name, "binary", **kw).transform(te)
+        ev = m.EVALUATORS["binary"][1]()
+        return t.spark.createDataFrame([(name, te.count(), round(float(ev.evaluate(out)), 4))], "model string, n_test long, roc_auc double")
+    finally:
+        rows.unpersist()
 
 
 def number(t, name, **kw):
