@@ -482,17 +482,30 @@ def survival_model(df: DataFrame, time: str, event: str, features: list[str]) ->
     return df.sparkSession.createDataFrame([(f, round(float(c), 4)) for f, c in zip(features, m.coefficients)] + [("(intercept)", round(float(m.intercept), 4)), ("(scale)", round(float(m.scale), 4))], "term string, value double")
 
 
-def uplift(df: DataFrame, key: str, arm: str, outcome: str, features: list[str]) -> DataFrame:
-    """Two outcome models by arm (T-learner), and effects imputed and weighted by propensity (X-learner)."""
-    d = VectorAssembler(inputCols=features, outputCol="features").transform(df.withColumn("label", F.col(outcome).cast("double")))
-    fit = lambda rows, label="label": GBTRegressor(maxIter=8, maxDepth=3, labelCol=label, seed=SEED).fit(rows)
-    m1, m0 = fit(d.where(F.col(arm) == 1)), fit(d.where(F.col(arm) == 0))
-    both = m0.transform(m1.transform(d).withColumnRenamed("prediction", "p1")).withColumnRenamed("prediction", "p0")
-    both = both.withColumn("tau", F.when(F.col(arm) == 1, F.col("label") - F.col("p0")).otherwise(F.col("p1") - F.col("label")))
-    t1, t0 = fit(both.where(F.col(arm) == 1), "tau"), fit(both.where(F.col(arm) == 0), "tau")
-    x = t0.transform(t1.transform(both).withColumnRenamed("prediction", "x1")).withColumnRenamed("prediction", "x0")
-    g = df.agg(F.avg(arm)).first()[0]
-    return x.select(key, (F.col("p1") - F.col("p0")).alias("t_uplift"), (g * F.col("x0") + (1 - g) * F.col("x1")).alias("x_uplift"))
+def uplift(df: DataFrame, key: str, arm: str, outcome: str, features: list[str], folds: int = 2) -> DataFrame:
+    """(key, t_uplift, x_uplift, propensity): two outcome models by arm (T-learner), and effects imputed and weighted by propensity (X-learner).
+
+    Cross-fitted: rows are scored by models, outcome and propensity, of the other folds (a salted hash of the key).
+    """
+    fold = hash_bucket(F.concat(F.col(key).cast("string"), F.lit("|uplift")), folds)
+    d = VectorAssembler(inputCols=features, outputCol="features").transform(df.withColumn("label", F.col(outcome).cast("double")).withColumn("_arm", F.col(arm).cast("double")).withColumn("_fold", fold)).persist()
+    fit = lambda rows, out, label="label": GBTRegressor(maxIter=8, maxDepth=3, labelCol=label, predictionCol=out, seed=SEED).fit(rows)
+    done = None
+    for f in range(folds):
+        rows = d.where(F.col("_fold") != f)
+        arm1, arm0 = rows.where("_arm = 1"), rows.where("_arm = 0")
+        m1, m0 = fit(arm1, "p1"), fit(arm0, "p0")
+        t1 = fit(m0.transform(arm1).withColumn("tau", F.col("label") - F.col("p0")), "x1", "tau")
+        t0 = fit(m1.transform(arm0).withColumn("tau", F.col("p1") - F.col("label")), "x0", "tau")
+        chance = LogisticRegression(labelCol="_arm", predictionCol="_ap", probabilityCol="_av", rawPredictionCol="_ar").fit(rows)
+        scored = d.where(F.col("_fold") == f)
+        for model in (m1, m0, t1, t0, chance):
+            scored = model.transform(scored)
+        g = vector_to_array("_av")[1]
+        part = scored.select(key, (F.col("p1") - F.col("p0")).alias("t_uplift"), (g * F.col("x0") + (1 - g) * F.col("x1")).alias("x_uplift"), g.alias("propensity"))
+        done = part if done is None else done.unionByName(part)
+    d.unpersist()  # the fits are done; scoring reads the rows once more
+    return done
 
 
 def ensemble(predictions: list[DataFrame], how: str = "average") -> DataFrame:

@@ -161,3 +161,16 @@ def test_bags_and_calibration_are_judged_on_other_rows(spark):
         got = m.calibrate(tr, method, te)
         brier = got.agg(F.avg(F.pow(F.col("calibrated") - F.col("label"), 2)), F.avg(F.pow(F.col("score") - F.col("label"), 2))).first()
         assert got.count() == te.count() and brier[0] < brier[1]
+
+
+def test_uplift_is_cross_fitted_and_weighs_by_propensity(spark):
+    """A planted effect of 5 where a > 0.5, treated more often there."""
+    df = spark.range(4000).select("id", F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("u"), F.randn(4).alias("e"))
+    df = df.withColumn("arm", (F.col("u") < F.when(F.col("a") > 0.5, 0.7).otherwise(0.3)).cast("int"))
+    df = df.withColumn("y", F.col("b") * 3 + F.col("arm") * F.when(F.col("a") > 0.5, 5.0).otherwise(0.0) + F.col("e") * 0.3)
+    out = m.uplift(df, "id", "arm", "y", ["a", "b"]).join(df, "id")
+    got = {r["high"]: r for r in out.groupBy((F.col("a") > 0.5).alias("high")).agg(F.avg("t_uplift").alias("t"), F.avg("x_uplift").alias("x"), F.avg("propensity").alias("g"), F.count("*").alias("n")).collect()}
+    assert got[True]["n"] + got[False]["n"] == 4000
+    for col in "tx":
+        assert abs(got[True][col] - 5) < 0.5 and abs(got[False][col]) < 0.5
+    assert got[True]["g"] > 0.58 and got[False]["g"] < 0.42
