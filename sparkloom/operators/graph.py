@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sparkloom.functions.exprs import ratio, rnd
-from sparkloom.session import cut_lineage
+from sparkloom.session import cut_lineage, stored_round
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -22,19 +22,25 @@ def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> Data
         sent = arcs.join(ranks.select(F.col("node").alias("src"), (F.col("rank") / F.col("out")).alias("part")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("part").alias("got"))
         ranks = out.withColumnRenamed("src", "node").join(sent, "node", "left").select("node", "out", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if i % 4 == 3:
-            ranks = cut_lineage(ranks)
+            ranks = stored_round(ranks)
     return ranks.select("node", "rank")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Smallest node id of each node's component: neighbour minimum, then a jump to the label's label, until nothing changes."""
-    arcs = cut_lineage(both_ways(edges))
-    labels = arcs.groupBy(F.col("src").alias("node")).agg(F.least(F.min("src"), F.min("dst")).alias("label"))
+    """Smallest node id of each node's component: neighbour minimum, handed on to the node that one's label names, then a jump to the label's label, until nothing changes.
+
+    As a whole tree of labels moves when one of its nodes meets a smaller label, rounds follow the logarithm of the nodes, not the longest path.
+    """
+    arcs = stored_round(both_ways(edges))
+    labels = stored_round(arcs.groupBy(F.col("src").alias("node")).agg(F.least(F.min("src"), F.min("dst")).alias("label")))
     while True:
         near = arcs.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("_m"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "_m").alias("_l"))
+        # what a node has found goes to itself and to the node its label names
+        told = step.select(F.inline(F.array(F.struct("node", "label", "_l"), F.struct(F.col("label").alias("node"), F.col("label").alias("label"), "_l"))))
+        step = told.groupBy("node").agg(F.min("label").alias("label"), F.min("_l").alias("_l"))
         jump = step.join(labels.select(F.col("node").alias("_l"), F.col("label").alias("_ll")), "_l", "left")
-        new = cut_lineage(jump.select("node", "label", F.least("_l", F.coalesce("_ll", "_l")).alias("_new")))
+        new = stored_round(jump.select("node", "label", F.least("_l", F.coalesce("_ll", "_l")).alias("_new")))
         moved = new.where("_new <> label").limit(1).count()
         labels = new.select("node", F.col("_new").alias("label"))
         if not moved:
@@ -43,12 +49,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def k_core(edges: DataFrame, k: int) -> DataFrame:
     """(node, d) of the k-core, d the degree in it: nodes of lower degree go until none is left."""
-    left = cut_lineage(edges)
+    left = stored_round(edges)
     size = left.count()
     while True:
         degree = both_ways(left).groupBy("src").agg(F.count("*").alias("d"))
         keep = degree.where(F.col("d") >= k)
-        nxt = cut_lineage(left.join(keep.select(F.col("src").alias("a")), "a", "left_semi").join(keep.select(F.col("src").alias("b")), "b", "left_semi").select("a", "b"))
+        nxt = stored_round(left.join(keep.select(F.col("src").alias("a")), "a", "left_semi").join(keep.select(F.col("src").alias("b")), "b", "left_semi").select("a", "b"))
         now = nxt.count()
         if now == size:
             return degree.select(F.col("src").alias("node"), "d")
@@ -69,7 +75,7 @@ def core_numbers(edges: DataFrame) -> DataFrame:
         near = arcs.join(now.select(F.col("node").alias("dst"), "core"), "dst").join(own, "src")
         counts = near.groupBy(F.col("src").alias("node"), "mine", F.least("core", "mine").alias("v")).agg(F.count("*").alias("n"))
         reach = counts.withColumn("at_least", F.sum("n").over(down))
-        new = cut_lineage(reach.groupBy("node", "mine").agg(F.max(F.least("v", "at_least")).alias("core")))
+        new = stored_round(reach.groupBy("node", "mine").agg(F.max(F.least("v", "at_least")).alias("core")))
         moved = new.where("core <> mine").limit(1).count()
         now = new.select("node", "core")
         if not moved:
@@ -101,5 +107,5 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     labels = arcs.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
         votes = arcs.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.count("*").alias("n"))
-        labels = cut_lineage(votes.groupBy("node").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")))
+        labels = stored_round(votes.groupBy("node").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")))
     return labels

@@ -48,3 +48,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of executors."""
     scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored_round(df: DataFrame) -> DataFrame:
+    """A round of a loop, written to the scratch folder and read back, so that its estimated size is that of its files.
+
+    A checkpoint keeps the estimate of the plan that made it. A join multiplies the estimates of its sides, so in a loop that joins a table with itself the
+    number doubles its digits every round, until it fills the driver's memory.
+    """
+    path = new_scratch_path(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
