@@ -36,6 +36,9 @@ class Search:
     loss: float = np.inf
     points: list[np.ndarray] = field(default_factory=list)
     done: bool = False
+    inside: float = np.inf  # rows within the width when it was last narrowed
+    flat: bool = False  # narrowing left as many rows inside: they may all lie on one plane
+    solved: np.ndarray | None = None
 
 
 def _standard(table: np.ndarray, means: np.ndarray, scales: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +87,8 @@ def _smooth_pass(rows: DataFrame, searches: list[Search], means, scales, p: int)
         best = int(np.argmin(own[:, 0]))
         gained = s.loss - own[best, 0]
         if len(s.points) > 1 and gained <= 1e-6 * abs(s.loss):
-            s.done = own[best, 1] <= BAND
+            s.done, s.flat = own[best, 1] <= BAND, BAND < own[best, 1] and own[best, 1] > 0.9 * s.inside
+            s.inside = own[best, 1]
             s.width, s.loss, s.points = s.width / 4, np.inf, [s.points[best] if gained > 0 else s.beta]
             s.beta = s.points[0]
             continue
@@ -94,6 +98,37 @@ def _smooth_pass(rows: DataFrame, searches: list[Search], means, scales, p: int)
         s.points = [s.beta + t * step for t in (1.0, 0.5, 0.2, 0.05)]
 
 
+def _on_plane(rows: DataFrame, s: Search, top: float, means, scales, p: int) -> np.ndarray | None:
+    """The exact solution where the rows inside the band, however many, lie on one plane; None where they do not or it is not proved to be the optimum.
+
+    The plane is optimal if no row outside changes sides and the rows on it can take up the others' pull with weights between quantile - 1 and quantile.
+    All is found by sums over the rows.
+    """
+    q, beta, width, tie = s.quantile, s.beta, 4 * s.width, 1e-9 * (1 + top)
+
+    def moments(table: np.ndarray) -> np.ndarray:
+        x, y = _standard(table, means, scales)
+        r = y - x @ beta
+        near = np.abs(r) <= width
+        return np.concatenate([(x[near].T @ x[near]).ravel(), x[near].T @ y[near], x[~near].T @ np.where(r[~near] > 0, q, q - 1)])
+
+    got = _summed(rows, moments, p * p + 2 * p)
+    square = got[: p * p].reshape(p, p)
+    plane = np.linalg.lstsq(square, got[p * p : p * p + p], rcond=None)[0]
+    weight = np.linalg.lstsq(square, -got[p * p + p :], rcond=None)[0]
+    if np.abs(square @ weight + got[p * p + p :]).max() > 1e-6 * (1 + np.abs(got[p * p + p :]).max()):
+        return None
+
+    def wrong(table: np.ndarray) -> np.ndarray:
+        x, y = _standard(table, means, scales)
+        r, now, share = y - x @ beta, y - x @ plane, x @ weight
+        near = np.abs(r) <= width
+        bad = np.where(near, (np.abs(now) > tie) | (share > q + 1e-9) | (share < q - 1 - 1e-9), r * now < 0)
+        return np.array([bad.sum()])
+
+    return None if _summed(rows, wrong, 1)[0] else plane
+
+
 def pinball(r: np.ndarray, quantile: float) -> float:
     return float(np.maximum(quantile * r, (quantile - 1) * r).sum())
 
@@ -151,9 +186,16 @@ def solve_rows(x: np.ndarray, y: np.ndarray, quantile: float, start: np.ndarray
     return out
 
 
-def _exact(rows: DataFrame, s: Search, n: int, means, scales, p: int, band: int) -> np.ndarray:
+def _solve_groups(held: list, quantile: float, start: np.ndarray, means, scales) -> np.ndarray:
+    """The solution over different rows and their counts."""
+    x, y = _standard(np.array([r[:-1] for r in held], dtype=float).reshape(len(held), -1), means, scales)
+    weight = np.array([r[-1] for r in held], dtype=float)
+    return solve_rows(x * weight[:, None], y * weight, quantile, start)
+
+
+def _exact(rows: DataFrame, s: Search, n: int, top: float, means, scales, p: int, band: int) -> np.ndarray:
     """The exact solution next to a search's: rows far from the fit count as two sums, as long as they stay on their side of it."""
-    beta = s.beta
+    beta, tie = s.beta, 1e-9 * (1 + top)  # residuals below this are rounding, such a row is on the fit
     names = [F.col(c) for c in rows.columns]
     unit = lambda b: [F.lit(float(b[0] - (b[1:] * means / scales).sum())), *[F.lit(float(v)) for v in b[1:] / scales]]
     residual = lambda b: names[0] - sum((c * x for c, x in zip(unit(b)[1:], names[1:], strict=True)), unit(b)[0])
@@ -161,7 +203,7 @@ def _exact(rows: DataFrame, s: Search, n: int, means, scales, p: int, band: int)
         r = residual(beta)
         far, most = float("inf"), band << min(attempt, 3)
         if n > most:
-            far = rows.agg(F.percentile_approx(F.abs(r), most / n, 10_000).alias("r")).first()["r"]
+            far = max(tie, rows.agg(F.percentile_approx(F.abs(r), most / n, 10_000).alias("r")).first()["r"])
         near = rows.where(F.abs(r) <= far).groupBy(*rows.columns).agg(F.count("*").alias("n"))
         held = near.limit(16 * band + 1).collect()
         if len(held) > 16 * band:  # ties of continuous values do not come in such numbers
@@ -177,7 +219,7 @@ def _exact(rows: DataFrame, s: Search, n: int, means, scales, p: int, band: int)
         new = solve_rows(x, y, s.quantile, beta)
         if far == float("inf"):
             return new
-        crossed = F.count_if(((r > far) & (residual(new) < 0)) | ((r < -far) & (residual(new) > 0)))
+        crossed = F.count_if(((r > far) & (residual(new) < -tie)) | ((r < -far) & (residual(new) > tie)))
         wrong = rows.agg(crossed.alias("n")).first()["n"]
         beta = new
         if not wrong:
@@ -190,12 +232,12 @@ def quantile_regression(df: DataFrame, target: str, features: list[str], quantil
 
     Newton steps on the loss with its corner rounded, ever less, bring the fit so near that at most `band` rows are left whose side is open. Those are
     collected and solved exactly, the others count as two sums; a last pass makes sure that no row has changed sides, so the result is the
-    optimum over all rows. Several optima are possible; one of them is returned. Constant features have coefficient 0.
+    optimum over all rows. Up to `band` different rows are solved at once, and where more than that lie on one plane the plane is proved by sums. Several optima are possible; one of them is returned. Constant features have coefficient 0.
     """
     spark, terms = df.sparkSession, ["(intercept)", *features]
     rows = design(df, target, features).persist()
     try:
-        s = rows.agg(F.count("*").alias("n"), F.avg("y").alias("y"), *[f(F.col(c)).alias(f"{c}_{k}") for c in rows.columns[1:] for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        s = rows.agg(F.count("*").alias("n"), F.avg("y").alias("y"), F.max(F.abs("y")).alias("top"), *[f(F.col(c)).alias(f"{c}_{k}") for c in rows.columns[1:] for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
         n = s["n"]
         if not n:
             return spark.createDataFrame([], "quantile double, term string, coefficient double")
@@ -206,14 +248,23 @@ def quantile_regression(df: DataFrame, target: str, features: list[str], quantil
         start = np.linalg.lstsq(squares[: p * p].reshape(p, p), squares[p * p : -1], rcond=None)[0]
         spread = max((max(squares[-1] - start @ squares[p * p : -1], 0) / n) ** 0.5, 1e-9 * (1 + abs(s["y"])))
         searches = [Search(q, start, spread, points=[start]) for q in quantiles]
+        groups = rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).limit(band + 1).collect() if n > band else []
+        if 0 < len(groups) <= band:  # few different rows, however often they come: nothing to search
+            for x in searches:
+                x.solved = _solve_groups(groups, x.quantile, start, means, scales)
+                x.done = True
         for _ in range(passes):
             open_ = [x for x in searches if not x.done and n > band]
             if not open_:
                 break
             _smooth_pass(rows, open_, means, scales, p)
+            for x in open_:
+                if x.flat:
+                    x.flat, x.solved = False, _on_plane(rows, x, s["top"], means, scales, p)
+                    x.done = x.solved is not None
         out = []
         for x in searches:
-            beta = _exact(rows, x, n, means, scales, p, band)
+            beta = _exact(rows, x, n, s["top"], means, scales, p, band) if x.solved is None else x.solved
             slopes = beta[1:] / scales
             out += [(x.quantile, t, float(v)) for t, v in zip(terms, [beta[0] - (slopes * means).sum(), *slopes], strict=True)]
         return spark.createDataFrame(out, "quantile double, term string, coefficient double")
