@@ -19,7 +19,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import (AFTSurvivalRegression, DecisionTreeRegressor, GBTRegressor, GeneralizedLinearRegression,
                                    IsotonicRegression, LinearRegression, RandomForestRegressor)
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.functions.exprs import hash_bucket, rnd
@@ -161,14 +160,32 @@ def draw_params(name: str, n_trials: int, seed: int = SEED) -> list[dict]:
 
 
 def search(data: DataFrame, name: str, problem: str, trials: list[dict], folds: int = 3, parallelism: int = 4) -> DataFrame:
-    """Cross-validated score of every parameter set, best first."""
-    rows = with_weights(data) if problem in CLASSES else data
+    """Cross-validated score of every parameter set, best first.
+
+    Rows are held once with their fold, which is a column like any other; the fits of a fold run side by side. No model is kept, so none is fitted on all rows.
+    """
     est = MODELS[name][1](multiclass=problem == "multiclass")
-    maps = [{est.getParam(k): v for k, v in t.items()} for t in trials]
     metric, make = EVALUATORS[problem]
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=make(), numFolds=folds, foldCol="_fold", parallelism=parallelism)
-    fitted = cv.fit(rows.withColumn("_fold", fold_of(folds).cast("int")))
-    table = [(i, str(sorted((k, round(v, 5)) for k, v in t.items())), metric, round(float(s), 4)) for i, (t, s) in enumerate(zip(trials, fitted.avgMetrics))]
+    held = data.withColumn("_fold", fold_of(folds).cast("int")).persist()
+    try:
+        rows = with_weights(held) if problem in CLASSES else held
+        sizes = {r["_fold"]: r["count"] for r in rows.groupBy("_fold").count().collect()}
+        for f in range(folds):
+            if not sum(n for k, n in sizes.items() if k != f):
+                raise ValueError(f"The training data at fold {f} is empty.")
+            if not sizes.get(f):
+                raise ValueError(f"The validation data at fold {f} is empty.")
+
+        def one(trial: dict, f: int) -> float:
+            model = est.fit(rows.where(F.col("_fold") != f), {est.getParam(k): v for k, v in trial.items()})
+            return make().evaluate(model.transform(rows.where(F.col("_fold") == f)))
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            scores_ = [list(pool.map(lambda t: one(t, f), trials)) for f in range(folds)]  # noqa: B023
+    finally:
+        held.unpersist()
+    means = [sum(s) / folds for s in zip(*scores_)]
+    table = [(i, str(sorted((k, round(v, 5)) for k, v in t.items())), metric, round(float(s), 4)) for i, (t, s) in enumerate(zip(trials, means))]
     return data.sparkSession.createDataFrame(table, "trial int, params string, metric string, score double").orderBy(F.desc("score"), "trial")
 
 

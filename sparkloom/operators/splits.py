@@ -57,10 +57,12 @@ def sentinel(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
+    """Rows with a weight that balances the classes. A row per class is counted in one pass and goes to the tasks, the rows themselves are not shuffled by class."""
     counts = df.groupBy(target).agg(F.count("*").alias("_nc"))
-    s = counts.agg(F.sum("_nc"), F.count("*")).first()
-    weights = counts.select(target, (F.lit(float(s[0] or 0)) / (F.lit(s[1]) * F.col("_nc"))).alias("weight"))
-    return df.join(weights, target)
+    classes = counts.collect()  # as a classifier's model, of the size of the classes
+    total = float(sum(r["_nc"] for r in classes))
+    weights = df.sparkSession.createDataFrame(classes, counts.schema).select(target, (F.lit(total) / (F.lit(len(classes)) * F.col("_nc"))).alias("weight"))
+    return df.join(F.broadcast(weights), target)
 
 
 def undersample(df: DataFrame, key: str, target: str, ratio: float = 1.0, bag: int = 0) -> DataFrame:

@@ -214,7 +214,11 @@ def fea_24(t):
 def fea_25(t):
     from sparkloom.operators.models import eliminate_features
 
-    return eliminate_features(t.orders_target, ["c_acctbal", "o_totalprice", "c_nationkey", "o_custkey"], "y", 2)
+    rows = t.orders_target.select("c_acctbal", "o_totalprice", "c_nationkey", "o_custkey", "y").persist()  # one join for all fits
+    try:
+        return eliminate_features(rows, ["c_acctbal", "o_totalprice", "c_nationkey", "o_custkey"], "y", 2)
+    finally:
+        rows.unpersist()
 
 
 @query("fea_26", "SELECT user_id, strftime(hour, '%Y-%m-%d %H') AS hour, round(value, 4) AS value FROM hourly_gap", "hourly_gap")

@@ -9,7 +9,7 @@ from sparkloom.operators import explain as e, gates, metrics, models as m, trans
 from sparkloom.operators.neighbours import knn
 from sparkloom.plans.catalog import query
 from sparkloom.plans.met import CLS, CM
-from sparkloom.plans.mod import FEATS, data
+from sparkloom.plans.mod import FEATS, data, shared
 
 
 def fitted(t, name="logistic", **kw):
@@ -17,6 +17,7 @@ def fitted(t, name="logistic", **kw):
 
 
 @query("int_01")
+@shared("y")
 def int_01(t):
     a = e.importances(fitted(t, "forest", n_estimators=8, max_depth=5), FEATS, t.spark).withColumn("model", F.lit("forest"))
     return a.unionByName(e.importances(fitted(t), FEATS, t.spark).withColumn("model", F.lit("logistic")))
@@ -29,6 +30,7 @@ def int_02(t):
 
 
 @query("int_03")
+@shared("y")
 def int_03(t):
     model = fitted(t, "forest", n_estimators=8, max_depth=5)
     asm = VectorAssembler(inputCols=FEATS, outputCol="features")
@@ -39,6 +41,7 @@ def int_03(t):
 
 
 @query("int_04")
+@shared("y")
 def int_04(t):
     model = fitted(t)
     asm = VectorAssembler(inputCols=FEATS, outputCol="features")
@@ -101,6 +104,7 @@ def int_11(t):
 
 
 @query("int_12")
+@shared("y")
 def int_12(t):
     ev = m.EVALUATORS["binary"][1]()
 
