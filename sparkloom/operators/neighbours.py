@@ -20,6 +20,22 @@ def _around(dims: int) -> Column:
     return F.array(*[F.struct(*[F.lit(s).alias(f"o{i}") for i, s in enumerate(o)]) for o in offsets])
 
 
+#: Rows that a query may meet in its own cell at the start, times k.
+CROWD = 4
+
+
+def _first_width(points: DataFrame, coords: list[str], width: float, spans: list[float], limit: int) -> float:
+    """Half the width until a point shares its cell with `limit` points on average, so that the first round meets few pairs however the points are spread."""
+    least = max(spans) / (1 << 40)
+    while width > least:
+        cells = points.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in coords])).groupBy(*_cells(coords, width)).agg(F.count("*").cast("double").alias("_n"))
+        crowd = cells.agg(F.sum(F.col("_n") * F.col("_n")) / F.sum("_n")).first()[0]
+        if crowd is None or crowd <= limit:
+            break
+        width /= 2
+    return width
+
+
 def knn(queries: DataFrame, donors: DataFrame, query_id: str, donor_id: str, coords: list[str], k: int,
         payload: list[str] = (), skip_self: bool = False) -> DataFrame:
     """(query_id, donor_id, distance, rank, payload) of the k nearest donors, ties by donor id.
@@ -27,7 +43,9 @@ def knn(queries: DataFrame, donors: DataFrame, query_id: str, donor_id: str, coo
     Donors at the same point are reduced to the k smallest ids first, which changes no answer. In
     each round a query looks into its cell and the cells around it; it is answered when the k-th
     distance found is within one cell width. The others go on with cells twice as wide, until the
-    cells span the data. Cells are joined by equality and the top k is limited on the map side.
+    cells span the data. The first cells are so narrow that they hold few points where the points are,
+    not on average over the box, so the pairs of a query do not grow with the table. Cells are joined by
+    equality and the top k is limited on the map side.
     """
     spark = queries.sparkSession
     dims = len(coords)
@@ -42,7 +60,7 @@ def knn(queries: DataFrame, donors: DataFrame, query_id: str, donor_id: str, coo
         return queries.limit(0).select(query_id).join(points.limit(0), F.lit(False)).withColumns({"distance": F.lit(0.0), "rank": F.lit(0)})
     spans = [max(box[f"b{i}"], reach[f"b{i}"]) - min(box[f"a{i}"], reach[f"a{i}"]) for i in range(dims)]
     area = reduce(lambda x, y: x * y, [s or 1.0 for s in spans])
-    width = (area * take / box["n"]) ** (1 / dims)
+    width = _first_width(points, coords, (area * take / box["n"]) ** (1 / dims), spans, CROWD * take)
     open_ = queries.select(query_id, *[F.col(c).alias(f"_q{i}") for i, c in enumerate(coords)], *coords)
     done = None
     while True:
