@@ -10,41 +10,57 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Waiting rows that a piece of a user's state holds, at most about.
+PIECE = 10_000
+
 
 class _Anomalies(StatefulProcessor):
-    """Rows wait in a list until the watermark passes their time; then they are folded into the user's running mean and spread."""
+    """Rows wait in pieces until the watermark passes their time; then they are folded into the user's running mean and spread.
+
+    A user has one timer: at the earliest waiting row, or where none waits at the end of the idle time.
+    """
 
     def __init__(self, event_kind: str, sigmas: float, idle_ms: int):
         self.event_kind, self.sigmas, self.idle_ms = event_kind, sigmas, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"at long, event {self.event_kind}, value double")
-        self.stats = handle.getValueState("stats", "n long, mean double, m2 double, last long")
+        self.waiting = handle.getListState("waiting", f"at array<long>, event array<{self.event_kind}>, value array<double>")
+        self.stats = handle.getValueState("stats", "n long, mean double, m2 double, last long, due long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times: set[int] = set()
+        pieces, first = [], None
         for pdf in rows:
-            self.waiting.appendList([(int(a), e, float(v)) for a, e, v in zip(pdf["at"], pdf["event"], pdf["value"]) if v is not None and v == v])
-            times.update(int(a) // 1000 + 1 for a in pdf["at"])
-        for t in times:
-            self.handle.registerTimer(t)
+            least = int(pdf["at"].min())
+            first = least if first is None else min(first, least)
+            kept = [r for r in zip(pdf["at"].tolist(), pdf["event"].tolist(), pdf["value"].tolist()) if r[2] is not None and r[2] == r[2]]
+            if kept:
+                pieces.append(tuple(map(list, zip(*kept))))
+        if pieces:
+            self.waiting.appendList(pieces)
+        if first is None:
+            return
+        n, mean, m2, last, due = self.stats.get() or (0, 0.0, 0.0, 0, None)
+        at = first // 1000 + 1
+        if due is None or at < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(at)
+            self.stats.update((n, mean, m2, last, at))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = self.stats.get() if self.stats.exists() else (0, 0.0, 0.0, 0)
-        n, mean, m2, last = held
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        ready = sorted(((r[0], r[1], r[2]) for r in rows if r[0] // 1000 < now))
-        if not ready:
-            if not rows and last and now >= last + self.idle_ms:  # nothing came for long
-                self.stats.clear()
-            return
-        later = [tuple(r) for r in rows if r[0] // 1000 >= now]
-        self.waiting.clear()
-        if later:
-            self.waiting.put(later)
+        n, mean, m2, last, _ = self.stats.get() or (0, 0.0, 0.0, 0, None)
+        rows = [r for piece in self.waiting.get() for r in zip(*piece)]
+        ready = sorted(r for r in rows if r[0] // 1000 < now)
+        later = [r for r in rows if r[0] // 1000 >= now]
+        if ready:
+            if later:
+                self.waiting.put([tuple(map(list, zip(*later[i:i + PIECE]))) for i in range(0, len(later), PIECE)])
+            else:
+                self.waiting.clear()
+            last = ready[-1][0] // 1000
         out = []
         for at, event, x in ready:
             sd = (m2 / (n - 1)) ** 0.5 if n > 1 else 0.0
@@ -54,10 +70,14 @@ class _Anomalies(StatefulProcessor):
             d = x - mean
             mean += d / n
             m2 += d * (x - mean)
-        last = ready[-1][0] // 1000
-        self.stats.update((n, mean, m2, last))
-        self.handle.registerTimer(last + self.idle_ms)
-        yield pd.DataFrame({"event": [r[0] for r in out], "z": pd.array([r[1] for r in out], dtype="Float64").astype("object"), "flag": [r[2] for r in out]})
+        due = min(r[0] for r in later) // 1000 + 1 if later else last + self.idle_ms
+        if not later and (not n or now >= due):  # nothing came for long
+            self.stats.clear()
+        else:
+            self.handle.registerTimer(due)
+            self.stats.update((n, mean, m2, last, due))
+        if out:
+            yield pd.DataFrame({"event": [r[0] for r in out], "z": pd.Series([r[1] for r in out], dtype="object"), "flag": [r[2] for r in out]})
 
     def close(self) -> None:
         pass
