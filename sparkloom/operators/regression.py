@@ -157,9 +157,11 @@ def solve_rows(x: np.ndarray, y: np.ndarray, quantile: float, start: np.ndarray
     """
     free = _corner(x.T @ x, np.arange(x.shape[1]))  # independent columns
     own = x[:, free]
-    shifted = y + 1e-10 * (1e-300 + np.abs(y).max(initial=0)) * np.random.default_rng(1).standard_normal(len(y))
+    size = 1e-300 + np.linalg.norm(own, axis=1)
+    # a row's shift follows its own size: beside a sum of millions of rows one of them would be moved past others
+    shifted = y + 1e-10 * size * (1e-300 + (np.abs(y) / size).max(initial=0)) * np.random.default_rng(1).standard_normal(len(y))
     guess = np.linalg.lstsq(own, y, rcond=None)[0] if start is None else start[free]
-    basis = _corner(own, np.argsort(np.abs(shifted - own @ guess) / (1e-300 + np.linalg.norm(own, axis=1)), kind="stable"))
+    basis = _corner(own, np.argsort(np.abs(shifted - own @ guess) / size, kind="stable"))
     for _ in range(pivots):
         back = np.linalg.inv(own[basis])
         r = shifted - own @ (back @ shifted[basis])
